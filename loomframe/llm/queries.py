@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import records, tokens, warc
+from loomframe.llm import ngram_join, records, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("lossless")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -31,12 +35,31 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, _table(spark, sf_dir, "pages"))
 
 
+_NGRAM_SQL = r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+      FROM documents),
+    s AS (
+      SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))) END AS shingles FROM w),
+    n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, shingles FROM s),
+    e AS (SELECT doc_id, n_shingles, unnest(shingles) AS shingle FROM n),
+    p AS (
+      SELECT a.doc_id AS x, b.doc_id AS y, a.n_shingles AS nx, b.n_shingles AS ny, count(*) AS both_have
+      FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM p WHERE 100 * both_have >= 75 * (nx + ny - both_have)),
+    r AS (SELECT doc_id AS node, doc_id AS reached FROM n UNION SELECT r.node, l.y FROM r JOIN l ON r.reached = l.x)
+    SELECT n.doc_id, n.n_shingles, c.component_id
+    FROM n JOIN (SELECT node, min(reached) AS component_id FROM r GROUP BY node) c ON n.doc_id = c.node"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_bpe_round_trip, op9_token_records, op10_warc)}
+    return {f.__name__: f for f in (op1_token_counts, op4_bpe_round_trip, op5_ngram_join, op9_token_records, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_ngram_join": _NGRAM_SQL,
         "op10_warc": """
             WITH p AS (
               SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

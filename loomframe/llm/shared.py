@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,3 +49,28 @@ def dropped(*tables: DataFrame | None) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: A key is hot when over one of so many counted rows have it; so hot keys are fewer than this and may be broadcast.
+HOT_SHARE = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: list[str], copies: str = "copies") -> DataFrame:
+    """``left`` with the columns of ``right`` (null where it has no such key), without a task that gathers one key.
+
+    ``right`` is a written table of unique keys with the number of left rows of each. Hot keys are fewer than
+    ``HOT_SHARE`` whatever the data, and are broadcast; left rows that a hot key has answered, and those without a
+    full key, get a key of their own in the shuffle that joins the rest.
+    """
+    total = right.agg(F.sum(copies).alias("n")).first()["n"] or 0
+    hot = right.filter(F.col(copies) > total / HOT_SHARE)
+    given = [c for c in right.columns if c not in key]
+    known = left.join(F.broadcast(hot.select(*key, *[F.col(c).alias(f"_hot_{c}") for c in given])), key, "left")
+    cold = right.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    lacks = F.lit(False)
+    for k in key:
+        lacks = lacks | F.col(k).isNull()
+    known = known.withColumn("_spread", F.when(F.col(f"_hot_{copies}").isNotNull() | lacks, F.xxhash64(*[c for c in left.columns if c not in key])).otherwise(F.lit(0)))
+    cold = cold.select(*key, F.lit(0).cast("long").alias("_spread"), *[F.col(c).alias(f"_cold_{c}") for c in given])
+    joined = known.join(cold, [*key, "_spread"], "left")
+    return joined.select(*left.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in given])
