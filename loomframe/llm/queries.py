@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import near_vectors, ngram_join, records, tokens, topk, warc
+from loomframe.llm import langid, near_vectors, ngram_join, records, tokens, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -84,7 +88,7 @@ _NGRAM_SQL = r"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_near_vectors, op4_bpe_round_trip, op5_ngram_join, op6_top_k, op9_token_records, op10_warc)}
+    return {f.__name__: f for f in (op1_token_counts, op3_near_vectors, op4_bpe_round_trip, op5_ngram_join, op6_top_k, op8_language_id, op9_token_records, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
