@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomframe.llm import langid, near_vectors, ngram_join, records, tokens, topk, warc
+from loomframe.llm import langid, licences, mixing, near_vectors, ngram_join, records, tokens, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +18,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -35,6 +38,10 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_table(spark, sf_dir, "documents"))
 
@@ -88,7 +95,7 @@ _NGRAM_SQL = r"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_near_vectors, op4_bpe_round_trip, op5_ngram_join, op6_top_k, op8_language_id, op9_token_records, op10_warc)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_near_vectors, op4_bpe_round_trip, op5_ngram_join, op6_top_k, op7_licence_scan, op8_language_id, op9_token_records, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -96,6 +103,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_near_vectors": _NEAR_SQL,
         "op5_ngram_join": _NGRAM_SQL,
         "op6_top_k": _TOP_SQL,
+        "op7_licence_scan": licences.licence_sql(),
         "op10_warc": """
             WITH p AS (
               SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
