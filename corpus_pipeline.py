@@ -1,8 +1,58 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near-duplicate removal, mixing to target weights, and BPE ids.
 
-STAGES: list = []
+Every stage works on all rows that the one before kept. All but the last return
+the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomframe.llm import langid, mixing, ngram_join, tokens
+from loomframe.llm.shared import new_folder, written
+
+#: No SQL can train the two models.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language ID rejects go: null texts and texts without a letter. All others stay, in whatever language."""
+    rows = langid.predict(docs, langid.fit(docs))
+    return rows.filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by the n-gram Jaccard join, that with the smallest id stays.
+
+    Of rows that repeat an id one stays, if any of the group does; rows without an id all stay.
+    """
+    groups = written(ngram_join.ngram_join(docs), "pipeline-groups")
+    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate says: rates bring expected tokens of the labelled domains to the target weights."""
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, hashes of the ids and of the decoded text, whether it is the text, and the ids."""
+    return tokens.bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+
+
+STAGES = [("language ID", language_id), ("near duplicates", near_duplicates), ("mixing", mix), ("BPE", bpe)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES, 1):
+        path = new_folder(spark, f"pipeline-{k}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

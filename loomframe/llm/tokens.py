@@ -12,7 +12,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
@@ -217,11 +217,11 @@ def bpe_decode(df: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame
     return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(decode, "doc_id long, text string")
 
 
-def bpe_round_trip(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and whether the decoded text is the text (lossless).
+def bpe_round_trip(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, whether the decoded text is the text (lossless), and with_ids also ids.
 
     Ids are hashed as little-endian unsigned 32-bit integers, the decoded text as UTF-8, both part by part,
-    so a long text is never held in either form as a whole. Null or empty text: 0 tokens and the hashes of nothing.
+    so a long text is never decoded as a whole. Null or empty text: 0 tokens and the hashes of nothing.
     """
 
     def trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,20 +229,32 @@ def bpe_round_trip(df: DataFrame, path: str, id_column: str = "doc_id", text_col
         for batch in batches:
             n = batch.num_rows
             tokens, hashes, texts = np.zeros(n, np.int64), [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
+            flat: list[np.ndarray] = []
             for lo, _, ids, counts in bpe.encode_windows(batch.column("text")):
-                ends = np.cumsum(counts).tolist()
                 begin = 0
-                for k, end in enumerate(ends, lo):
+                for k, end in enumerate(np.cumsum(counts).tolist(), lo):
                     part, begin = ids[begin:end], end
                     tokens[k] += len(part)
                     hashes[k].update(part.astype("<u4").tobytes())
                     texts[k].update(bpe.decode(part).encode())
+                if with_ids:
+                    flat.append(ids.astype(np.int32))
             data, offsets = text_bytes(batch.column("text"))
             raw = memoryview(data)
             same = [hashlib.sha256(raw[a:b]).digest() == h.digest() for a, b, h in zip(offsets[:-1].tolist(), offsets[1:].tolist(), texts)]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": tokens, "ids_sha256": [h.hexdigest() for h in hashes], "decoded_sha256": [h.hexdigest() for h in texts], "lossless": pa.array(same, pa.bool_())}, schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("lossless", pa.bool_())]))
+            columns = [batch.column("doc_id"), pa.array(tokens), pa.array([h.hexdigest() for h in hashes], pa.string()), pa.array([h.hexdigest() for h in texts], pa.string()), pa.array(same, pa.bool_())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"]
+            if not with_ids:
+                yield pa.record_batch(columns, names)
+                continue
+            ends = np.concatenate([[0], np.cumsum(tokens)])
+            values = np.concatenate(flat) if flat else np.empty(0, np.int32)
+            for first in range(0, n, 1024):  # lists in pieces, so that a batch of long texts isn't sent as one
+                last = min(n, first + 1024)
+                lists = pa.ListArray.from_arrays(pa.array((ends[first : last + 1] - ends[first]).astype(np.int32)), pa.array(values[ends[first] : ends[last]]))
+                yield pa.record_batch([*(c.slice(first, last - first) for c in columns), lists], [*names, "ids"])
 
-    return _named(df, id_column, text_column).mapInArrow(trip, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
+    return _named(df, id_column, text_column).mapInArrow(trip, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean" + (", ids array<int>" if with_ids else ""))
 
 
 # --- word vocabulary --------------------------------------------------------
@@ -322,5 +334,3 @@ class WordBPE:
 def word_bpe(path: str) -> WordBPE:
     return WordBPE(path)
 
-
-Encoder = Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray, np.ndarray]]]
