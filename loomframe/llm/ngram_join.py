@@ -10,7 +10,9 @@
    those that are common in the corpus. These (shingle, document) rows are the
    sparse form of the token-group matrix; shingles of one document only go.
 4. Where a shingle is in several groups, its documents are queries to the blocks
-   of the groups with smaller ids. A block holds the union of its members'
+   of the groups with smaller ids. Bit rows of the matrix, in which each document
+   folds its shingles to parities, bound the distance of query and members from
+   below, and leave few blocks. Each of these gets the union of its members'
    shingles; a query whose overlap with the union is under t times its own size
    can't reach any member, so only the other blocks are opened and compared
    member by member.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from loomframe.llm.chunks import mixed, span_hashes, text_bytes, windows, word_spans
 from loomframe.llm.components import components
-from loomframe.llm.shared import dropped, hot_join, partitions, written
+from loomframe.llm.shared import dropped, hot_join, partitions, released, rows_with, written
 
 BLOCK = 32
 BANDS, ROWS = 8, 3
@@ -42,11 +44,34 @@ COUNTED = 1 << 21
 QUERIES = 256
 _random = np.random.default_rng(7)
 _PLACES = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_HASHES = _random.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A-Z to a-z.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Starts of equal parts of the hash space; a part's least shingle is a min-hash of the set.
+_PARTS = np.linspace(0, 2.0**64, BANDS * ROWS, endpoint=False).astype(np.uint64)
 
 
-def _upper(data: np.ndarray) -> np.ndarray:
-    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+def least_hashes(values: np.ndarray) -> np.ndarray:
+    """The least shingle of each part of the hash space; an empty part takes that of the next full one."""
+    at = np.searchsorted(values, _PARTS)
+    at[at == len(values)] = 0
+    return values[at]
+
+
+def parities(values: np.ndarray) -> bytes:
+    """A bit row of at least two bits a shingle, to a power of two: each shingle turns one bit over."""
+    width = 1 << min(19, max(8, int(2 * len(values) - 1).bit_length()))
+    counts = np.bincount((values >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width)
+    return np.packbits(counts & 1).tobytes()
+
+
+def least_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the elements in one set only: bits in which the rows differ, the longer one folded to the shorter."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) > len(a):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def shingle_sets(column: pa.Array, words: int = 5) -> Iterator[tuple[int, np.ndarray]]:
@@ -72,7 +97,7 @@ def shingle_sets(column: pa.Array, words: int = 5) -> Iterator[tuple[int, np.nda
     data, offsets = text_bytes(column)
     held, row = [], -1
     for lo, hi, piece, at in windows(data, offsets):
-        lower = _upper(piece)
+        lower = _LOWER[piece]
         starts, ends = word_spans(lower, at)
         hashes = span_hashes(lower, starts, ends)
         if row >= 0 and row != lo:
@@ -111,7 +136,7 @@ def overlap(small: np.ndarray, large: np.ndarray) -> int:
     return int(np.count_nonzero(large[at] == small))
 
 
-_SIGNATURES = "kind int, id long, n long, k1 long, k2 long, bands array<long>"
+_SIGNATURES = "kind int, id long, n long, k1 long, k2 long, bands array<long>, bits binary"
 
 
 def _signatures(words: int):
@@ -128,20 +153,22 @@ def _signatures(words: int):
             seen.clear()
             values, counts = values[counts > 1], counts[counts > 1]
             none = pa.nulls(len(values), pa.int64())
-            return pa.record_batch([pa.array(np.ones(len(values), np.int32)), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64)), none, none, pa.nulls(len(values), pa.list_(pa.int64()))], schema=arrow)
+            return pa.record_batch([pa.array(np.ones(len(values), np.int32)), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64)), none, none, pa.nulls(len(values), pa.list_(pa.int64())), pa.nulls(len(values), pa.binary())], schema=arrow)
 
         for batch in batches:
             rows = batch.num_rows
             sizes, k1, k2 = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
             bands: list[list[int] | None] = [None] * rows
+            bits: list[bytes | None] = [None] * rows
             for row, values in shingle_sets(batch.column("text"), words):
                 if not len(values):
                     continue
                 sizes[row] = len(values)
                 key = k1[row], k2[row] = values.sum(dtype=np.uint64), mixed(values * _PLACES[9]).sum(dtype=np.uint64)
-                least = np.array([mixed(values * h).min() if len(values) < 1 << 16 else min(mixed(values[k : k + (1 << 16)] * h).min() for k in range(0, len(values), 1 << 16)) for h in _HASHES], np.uint64)
+                least = least_hashes(values)
                 joined = mixed((least.reshape(BANDS, ROWS) * _PLACES[10 : 10 + ROWS]).sum(axis=1, dtype=np.uint64) + _PLACES[20 : 20 + BANDS])
                 bands[row] = joined.view(np.int64).tolist()
+                bits[row] = parities(values)
                 if key not in seen:
                     seen.add(key)
                     for k in range(0, len(values), COUNTED):
@@ -150,10 +177,10 @@ def _signatures(words: int):
                         if n_held >= COUNTED:
                             yield common()
             full = sizes > 0
-            yield pa.record_batch([pa.array(np.zeros(rows, np.int32)), batch.column("id"), pa.array(sizes), pa.array(k1.view(np.int64), mask=~full), pa.array(k2.view(np.int64), mask=~full), pa.array(bands, pa.list_(pa.int64()))], schema=arrow)
+            yield pa.record_batch([pa.array(np.zeros(rows, np.int32)), batch.column("id"), pa.array(sizes), pa.array(k1.view(np.int64), mask=~full), pa.array(k2.view(np.int64), mask=~full), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary())], schema=arrow)
         yield common()
 
-    arrow = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    arrow = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.binary())])
     return run
 
 
@@ -273,13 +300,52 @@ def _opened(percent: int):
     return run
 
 
-def _links(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of queries (block, id) to members (block, id). A block with many queries is sent to several tasks."""
+def _near_enough(percent: int):
+    """Streams (block, part, role, id, n, bits): a block's members, then its queries; gives the queries that some member may be similar to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, members = None, []
+        for batch in batches:
+            out_block, out_id = [], []
+            bits = batch.column("bits")
+            for k, (gid, part, role, doc, n) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("block", "part", "role", "id", "n")])):
+                if (gid, part) != block:
+                    block, members = (gid, part), []
+                row = np.frombuffer(bits[k].as_buffer(), np.uint8)
+                if role == 0:
+                    members.append((doc, n, row.copy()))
+                    continue
+                for other, m, theirs in members:
+                    # J = o / (n + m - o) >= t means n + m - 2 o <= (n + m)(1 - t) / (1 + t)
+                    if other != doc and 100 * min(n, m) >= percent * max(n, m) and (100 + percent) * least_distance(row, theirs) <= (100 - percent) * (n + m):
+                        out_block.append(gid)
+                        out_id.append(doc)
+                        break
+            yield pa.record_batch({"block": pa.array(out_block, pa.int64()), "id": pa.array(out_id, pa.int64())})
+
+    return run
+
+
+def _met(queries: DataFrame, members: DataFrame, carried: DataFrame, given: list[str]) -> DataFrame:
+    """Rows of members (role 0) and queries (role 1) by block, with what ``carried`` has of each id. A block with many queries is sent to several tasks."""
     parts = queries.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     asked = queries.join(parts, "block").select("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "id")
     offered = members.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "id")
-    rows = asked.unionByName(offered).join(sets, "id").select("block", "part", "role", "id", "shingles")
-    return rows.repartition(partitions(queries.sparkSession), "block", "part").sortWithinPartitions("block", "part", "role", "id").mapInArrow(_opened(percent), "a long, b long")
+    rows = asked.unionByName(offered).join(carried, "id").select("block", "part", "role", "id", *given)
+    return rows.repartition(partitions(queries.sparkSession), "block", "part").sortWithinPartitions("block", "part", "role", "id")
+
+
+def _links(queries: DataFrame, members: DataFrame, bits: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of queries (block, id) to members (block, id), written."""
+    close = written(_met(queries, members, bits, ["n", "bits"]).mapInArrow(_near_enough(percent), "block long, id long"), "ngram-close")
+    opened = members.join(close.select("block").distinct(), "block", "left_semi")
+    needed_ids = close.select("id").unionByName(opened.select("id")).distinct()
+    needed_ids = written(needed_ids, "ngram-needed")
+    sets = written(rows_with(texts, needed_ids, "id").dropDuplicates(["id", "text"]).mapInArrow(_sets(words), "id long, shingles binary"), "ngram-sets")
+    links = written(_met(close, opened, sets, ["shingles"]).mapInArrow(_opened(percent), "a long, b long"), "ngram-links")
+    dropped(close, needed_ids, sets)
+    released(queries.sparkSession)
+    return links
 
 
 def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -293,31 +359,32 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: st
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     signatures = written(texts.mapInArrow(_signatures(words), _SIGNATURES), "ngram-signatures")
     common, counts = _common(signatures)
-    rows = signatures.filter("kind = 0").select("id", "n", "k1", "k2", "bands")
+    rows = signatures.filter("kind = 0").select("id", "n", "k1", "k2", "bands", "bits")
     known = rows.filter("n > 0 and id is not null")
-    classes = written(known.groupBy("n", "k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "ngram-classes")
-    repeated = written(classes.filter("copies > 1").drop("bands"), "ngram-repeated")
+    classes = written(known.groupBy("n", "k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "ngram-classes")
+    repeated = written(classes.filter("copies > 1").drop("bands", "bits"), "ngram-repeated")
     copies = written(hot_join(known.select("id", "n", "k1", "k2"), repeated, ["n", "k1", "k2"]).filter("first < id").select("id", "first"), "ngram-copies")
+    bits = classes.select(F.col("first").alias("id"), "n", "bits")
+
+    bands = classes.select(F.col("first").alias("id"), F.explode("bands").alias("band")).distinct()
+    leaders = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("copies")).filter("copies > 1")
+    leaders = written(leaders, "ngram-leaders")
+    proposed = written(hot_join(bands, leaders, ["band"]).groupBy("id").agg(F.min("leader").alias("leader")).filter("leader < id"), "ngram-proposed")
+    stars = _links(proposed.select(F.col("leader").alias("block"), "id"), proposed.select(F.col("leader").alias("block"), F.col("leader").alias("id")).distinct(), bits, texts, words, percent)
+    groups = written(components(stars, "a", "b"), "ngram-groups")
+    dropped(leaders, proposed)
+    released(spark)
 
     found = texts.mapInArrow(_prefixes(words, percent, common, counts), "shingle long, id long, n long")
     found = found.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle").mapInArrow(_shared_only, "shingle long, id long, n long")
     matrix = written(found, "ngram-matrix")
+    del found
+    released(spark)
     single = matrix.join(copies, "id", "left").select("shingle", F.coalesce("first", "id").alias("id"), "n").distinct()
     alone = single.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1").select("shingle")
     matrix2 = written(single.join(alone, "shingle"), "ngram-matrix")
     dropped(matrix)
 
-    bands = classes.select(F.col("first").alias("id"), F.explode("bands").alias("band"))
-    leaders = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("copies")).filter("copies > 1")
-    leaders = written(leaders, "ngram-leaders")
-    proposed = written(hot_join(bands, leaders, ["band"]).groupBy("id").agg(F.min("leader").alias("leader")).filter("leader < id"), "ngram-proposed")
-    involved = written(matrix2.select("id").unionByName(proposed.select("id")).unionByName(proposed.select(F.col("leader").alias("id"))).distinct(), "ngram-involved")
-    sets = written(texts.join(involved, "id", "left_semi").dropDuplicates(["id", "text"]).mapInArrow(_sets(words), "id long, shingles binary"), "ngram-sets")
-
-    stars = _links(proposed.select(F.col("leader").alias("block"), "id"), proposed.select(F.col("leader").alias("block"), F.col("leader").alias("id")).distinct(), sets, percent)
-    stars = written(stars, "ngram-stars")
-    groups = written(components(stars, "a", "b"), "ngram-groups")
-
     cells = matrix2.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = cells.groupBy("shingle").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).filter("lowest < highest").select("shingle")
     cells = written(cells.join(several, "shingle"), "ngram-cells")
@@ -339,9 +406,11 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: st
         .distinct()
     )
     queries = written(queries, "ngram-queries")
-    more = _links(queries, blocks.select("block", "id"), sets, percent)
+    dropped(matrix2, cells)
+    more = _links(queries, blocks.select("block", "id"), bits, texts, words, percent)
     edges = stars.unionByName(more).unionByName(copies.select(F.col("id").alias("a"), F.col("first").alias("b")))
     final = written(components(edges, "a", "b"), "ngram-components")
-    dropped(matrix2, sets, cells, crowds, blocks, queries, stars, groups, proposed, leaders, involved, classes, repeated, copies)
+    dropped(crowds, blocks, queries, stars, more, groups, classes, repeated, copies)
+    released(spark)
     out = rows.select("id", "n").join(final.select(F.col("node").alias("id"), "component"), "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -6,6 +6,7 @@ any executor, which a local checkpoint doesn't.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,25 @@ def dropped(*tables: DataFrame | None) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark clean the shuffle files of plans that nothing refers to any more; it does so only when garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Rows of a filter of ids, and bits of each: at most 4 MB, whatever the number of ids.
+FILTER_ROWS, FILTER_BITS = 1 << 18, 62
+
+
+def rows_with(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``df`` left-semi joined with ``ids``; a bit filter of bounded size is broadcast first, so few other rows are shuffled."""
+    row = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_ROWS)).cast("int")
+    bit = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(FILTER_BITS)).cast("int")
+    bits = ids.groupBy(row(F.col(column)).alias("_row")).agg(F.bit_or(F.expr("1L") * F.pow(F.lit(2.0), bit(F.col(column))).cast("long")).alias("_bits"))
+    near = df.withColumn("_row", row(F.col(column))).join(F.broadcast(bits), "_row").filter(F.getbit("_bits", bit(F.col(column))) == 1)
+    return near.select(*df.columns).join(ids, column, "left_semi")
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
