@@ -85,7 +85,7 @@ def has_letter(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = 1600, landmarks: int = 400, ridge: float = 1e-3, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> Model | None:
+def fit(docs: DataFrame, sample: int = 1600, landmarks: int = 256, ridge: float = 1e-3, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> Model | None:
     """Fit on at most ``sample`` labelled documents that aren't held out, as many of each language as there are, up to its even share.
 
     The sample is drawn by a hash of the id within each language, from the whole table; the figures are the same in
@@ -106,11 +106,11 @@ def fit(docs: DataFrame, sample: int = 1600, landmarks: int = 400, ridge: float
     for lang, blob in zip(table.column("lang").to_pylist(), table.column("bits").to_pylist()):
         if taken.get(lang, 0) < each:
             taken[lang] = taken.get(lang, 0) + 1
-            bits.append(np.unpackbits(np.frombuffer(blob, np.uint8)))
+            bits.append(blob)
             labels.append(lang)
     if not bits:
         return None
-    return solve(np.array(bits, np.float32), labels, landmarks, ridge)
+    return solve(bits, labels, landmarks, ridge)
 
 
 def _drawn_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,22 +123,27 @@ def _drawn_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column("lang").take(pa.array(rows)), pa.array(bits, pa.binary()), batch.column("draw").take(pa.array(rows)), batch.column("id").take(pa.array(rows))], ["lang", "bits", "draw", "id"])
 
 
-def solve(bits: np.ndarray, labels: list[str], landmarks: int = 400, ridge: float = 1e-3) -> Model:
-    """Nystroem features of the kernel and one ridge regression a language, folded to one weight a bit and language."""
+def solve(packed: list[bytes], labels: list[str], landmarks: int = 256, ridge: float = 1e-3) -> Model:
+    """Nystroem features of the kernel and one ridge regression a language, folded to one weight a bit and language.
+
+    Rows of bits are unpacked a few at a time; besides them only the landmarks' bits are held.
+    """
     languages = sorted(set(labels))
-    unit = bits / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1))
+    rows = lambda some: np.unpackbits(np.frombuffer(b"".join(some), np.uint8)).reshape(len(some), 1 << BITS).astype(np.float32)
     # landmarks in turn from every language
     turn: dict[str, int] = {}
     order = []
     for k, lang in enumerate(labels):
         turn[lang] = turn.get(lang, 0) + 1
         order.append((turn[lang], lang, k))
-    marks = unit[[k for _, _, k in sorted(order)[:landmarks]]].astype(np.float64)
-    among = marks @ marks.T
-    values, vectors = np.linalg.eigh(among)
+    chosen = [k for _, _, k in sorted(order)[:landmarks]]
+    marks = rows([packed[k] for k in chosen])
+    size = np.sqrt(np.maximum([int.from_bytes(x, "little").bit_count() for x in packed], 1))
+    kernel = np.concatenate([rows(packed[k : k + 32]) @ marks.T for k in range(0, len(packed), 32)]).astype(np.float64) / size[:, None] / size[chosen]
+    values, vectors = np.linalg.eigh(kernel[chosen])
     good = values > 1e-8 * values[-1]
     half = vectors[:, good] / np.sqrt(values[good])
-    features = unit.astype(np.float64) @ marks.T @ half
+    features = kernel @ half
     mean = features.mean(axis=0)
     target = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0)
     # each language counts alike
@@ -148,7 +153,8 @@ def solve(bits: np.ndarray, labels: list[str], landmarks: int = 400, ridge: floa
     gram = centred.T @ (centred * weight[:, None]) + ridge * len(labels) * np.eye(features.shape[1])
     base = (target * weight[:, None]).sum(axis=0) / weight.sum()
     beta = np.linalg.solve(gram, centred.T @ ((target - base) * weight[:, None]))
-    return Model(languages, (marks.T @ (half @ beta)).astype(np.float32), (base - mean @ beta).astype(np.float32))
+    onto = (half @ beta / size[chosen][:, None]).astype(np.float32)
+    return Model(languages, marks.T @ onto, (base - mean @ beta).astype(np.float32))
 
 
 def scores(model: Model, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
