@@ -1,3 +1,5 @@
+import os
+
 from loomframe.streaming import live
 
 
@@ -6,7 +8,8 @@ def run(spark, tmp_path, batches, schema, transform, mode):
     source.mkdir()
     stream = transform(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source)))
     for k, rows in enumerate(batches):
-        (source / f"{k:03d}.json").write_text("".join(f"{r}\n" for r in rows))
+        (file := source / f"{k:03d}.json").write_text("".join(f"{r}\n" for r in rows))
+        os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))  # files are read in the order of their times
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda df, n: out.extend(df.collect())).trigger(availableNow=True).start()
     query.awaitTermination(180)
     return out
