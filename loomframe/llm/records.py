@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm.shared import new_folder, partitions, written
@@ -65,27 +65,26 @@ def _read_frame(file, offset: int, length: int) -> bytes:
 def in_id_order(df: DataFrame, shards: int, id_column: str = "doc_id") -> DataFrame:
     """Rows dealt to ``shards`` ranges of near-equal size and sorted by id within each; null ids come first.
 
-    The bounds are quantiles from a scan of the id column alone. Rows of one id
-    stay together only as far as the bounds part them: ids that repeat so often
-    that they fill several ranges are dealt over these by a hash of the row.
+    The bounds are quantiles from a scan of the id column alone. An id that repeats so often that it is several
+    bounds, null too, is dealt over all ranges between them by a hash of the row, which keeps the order.
     """
-    steps = [k / shards for k in range(1, shards)]
-    bounds = [int(x) for x in df.select(F.col(id_column).cast("double").alias("x")).approxQuantile("x", steps, 0.25 / shards)] if shards > 1 else []
+    column = F.col(id_column)
+    known = F.coalesce(column.cast("double"), F.lit(float("-inf")))
+    bounds = df.select(known.alias("x")).approxQuantile("x", [k / shards for k in range(1, shards)], 0.25 / shards) if shards > 1 else []
     if not bounds:
         return df.coalesce(1).sortWithinPartitions(id_column)
-    at = F.lit(0)
-    table = F.array(*[F.lit(b) for b in bounds])
-    # the first bound above the id, by bisection over the literal array
-    low, high = F.lit(0), F.lit(len(bounds))
-    state = F.aggregate(
-        F.sequence(F.lit(1), F.lit(max(1, len(bounds).bit_length()))),
-        F.struct(low.alias("lo"), high.alias("hi")),
-        lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(
-            F.when(F.get(table, ((s["lo"] + s["hi"]) / 2).cast("int")) <= F.col(id_column), F.struct((((s["lo"] + s["hi"]) / 2).cast("int") + 1).alias("lo"), s["hi"].alias("hi")))
-            .otherwise(F.struct(s["lo"].alias("lo"), ((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))
-        ),
-    )
-    at = F.when(F.col(id_column).isNull(), F.lit(0)).otherwise(state["lo"])
+    table = F.split(F.lit(",".join("-Infinity" if x == float("-inf") else repr(x) for x in bounds)), ",").cast("array<double>")
+
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        above = F.get(table, middle) <= known
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(above, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(middle).alias("hi")))
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
+    at = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halved, lambda s: s["lo"])
+    for x in {x for x in bounds if bounds.count(x) > 1}:
+        first, n = bounds.index(x), bounds.count(x)
+        at = F.when(known == F.lit(x), F.lit(first + 1) + F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")).otherwise(at)
     return df.repartitionById(shards, at).sortWithinPartitions(id_column)
 
 

@@ -114,3 +114,13 @@ def test_a_damaged_record_is_an_error(spark):
     open(path, "wb").write(raw)
     with pytest.raises(Exception, match="checksum"):
         records.read_records(manifest).collect()
+
+
+def test_an_id_of_most_rows_is_dealt_over_shards(spark):
+    rows = [(7 if k % 4 else k, f"text {k} of many", 0.0, "", 1) for k in range(800)] + [(None, f"no id {k}", 0.0, "", 1) for k in range(300)]
+    manifest = records.write_records(spark.createDataFrame(rows, DOCS), P.path("word_bpe_49k.json"), new_folder(spark, "test-hot"), shards=10)
+    sizes = [r.n_records for r in manifest.collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 0.3 * len(rows)
+    got = records.read_records(manifest).orderBy("start").collect()
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids) and sorted(ids) == sorted(-1 if r[0] is None else r[0] for r in rows)
