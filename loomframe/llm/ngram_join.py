@@ -185,11 +185,22 @@ def _signatures(words: int):
 
 
 def _common(signatures: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``COMMON`` shingles with the largest counts of what the tasks found, sorted by shingle."""
-    counts = signatures.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter("n >= 6")
-    table = counts.orderBy(F.desc("n"), "id").limit(COMMON).toArrow()
+    """The shingles with the largest counts of what the tasks found, as many as ``COMMON`` holds, sorted by shingle.
+
+    A histogram of the counts, at most a few hundred rows, gives the least count, so no more than these rows are sent.
+    """
+    counts = written(signatures.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter("n >= 6"), "ngram-counts")
+    size_class = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    taken, least = 0, 1 << 30
+    for row in counts.groupBy(size_class.alias("c")).agg(F.count("*").alias("m")).orderBy(F.desc("c")).collect():
+        taken += row["m"]
+        if taken > COMMON:
+            break
+        least = row["c"]
+    table = counts.filter(size_class >= least).select("id", "n").toArrow()
     shingles, n = table.column("id").to_numpy().view(np.uint64), table.column("n").to_numpy()
     order = np.argsort(shingles)
+    dropped(counts)
     return shingles[order], n[order]
 
 
