@@ -91,16 +91,22 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = 20000, id_c
 
 
 def rate_column(steps: list[list[float]], start: list[float]) -> Column:
-    """The rate after the given steps from the starting weights: each step is taken and then cut off at 0."""
-    dot = lambda v: sum((F.col(f"_p{d}") * F.lit(float(x)) for d, x in enumerate(v)), F.lit(0.0))
-    begin = F.greatest(F.lit(0.0), dot(start))
+    """The rate after the given steps (momentum, then the step in each domain): each is taken and then cut off at 0."""
+    n = len(start)
+    begin = F.greatest(F.lit(0.0), sum((F.col(f"_p{d}") * F.lit(float(x)) for d, x in enumerate(start)), F.lit(0.0)))
     if not steps:
         return begin
     table = F.array(*[F.struct(*[F.lit(float(x)).alias(f"g{d}") for d, x in enumerate(g)]) for g in steps])
-    return F.aggregate(table, begin, lambda r, g: F.greatest(F.lit(0.0), r - sum((F.col(f"_p{d}") * g[f"g{d}"] for d in range(len(start))), F.lit(0.0))))
 
+    def step(s: Column, g: Column) -> Column:
+        ahead = s["now"] + g["g0"] * (s["now"] - s["before"])
+        moved = F.greatest(F.lit(0.0), ahead - sum((F.col(f"_p{d}") * g[f"g{d + 1}"] for d in range(n)), F.lit(0.0)))
+        return F.struct(s["now"].alias("before"), moved.alias("now"))
 
-def solve_rates(rows: DataFrame, targets: list[float], iterations: int = 25, close: float = 1e-9) -> tuple[list[list[float]], list[float], list[float]]:
+    return F.aggregate(table, F.struct(begin.alias("before"), begin.alias("now")), step, lambda s: s["now"])
+
+
+def solve_rates(rows: DataFrame, targets: list[float], iterations: int = 60, close: float = 1e-9) -> tuple[list[list[float]], list[float], list[float]]:
     """Steps, start and the totals reached; ``rows`` has _tokens and _p0, _p1, ..."""
     n = len(targets)
     p = [F.col(f"_p{d}") for d in range(n)]
@@ -118,18 +124,32 @@ def solve_rates(rows: DataFrame, targets: list[float], iterations: int = 25, clo
     target = np.array(targets)
     now, second = totals(steps)
     scale, pace = max(1.0, float(np.abs(target).sum())), 1.0
+    if not second.any():
+        return steps, start, now.tolist()
+    # all rates are positive at first, so these are the moments of all documents: the steepest safe step for any rates
+    plain = 1 / float(np.linalg.eigvalsh(second).max())
+    loss = lambda x: float(((x - target) ** 2).sum())
+    before, pushed, wait = now, 1.0, 0
     for _ in range(iterations):
-        error = float(np.abs(now - target).max())
-        if error <= close * scale or not second.any():
+        if float(np.abs(now - target).max()) <= close * scale:
             break
-        ridge = 1e-9 * float(np.trace(second)) + 1e-300
-        step = (pace * np.linalg.solve(second + ridge * np.eye(n), now - target)).tolist()
-        after, moved = totals([*steps, step])
-        if float(np.abs(after - target).max()) > error and pace > 1e-3:
-            pace /= 2
-            continue
-        steps.append(step)
-        now, second, pace = after, moved, min(1.0, 2 * pace)
+        if not wait:
+            scaled = np.linalg.solve(second + (1e-9 * float(np.trace(second)) + 1e-300) * np.eye(n), pace * (now - target))
+            step = [0.0, *scaled.tolist()]
+            after, moved = totals([*steps, step])
+            if loss(after) < 0.5 * loss(now):
+                steps.append(step)
+                before, now, second, pace, pushed = after, after, moved, min(1.0, 2 * pace), 1.0
+                continue
+            pace, wait = max(pace / 2, 1e-3), 6
+        # the scaled step runs into the bounds: plain gradient steps with momentum, which the next scaled step follows
+        further = (1 + (1 + 4 * pushed * pushed) ** 0.5) / 2
+        momentum = (pushed - 1) / further
+        ahead = now + momentum * (now - before)
+        steps.append([momentum, *(plain * (ahead - target)).tolist()])
+        after, second = totals(steps)
+        pushed = 1.0 if loss(after) > loss(now) else further
+        before, now, wait = now, after, wait - 1
     return steps, start, now.tolist()
 
 
