@@ -99,7 +99,8 @@ def safe_spans(data: np.ndarray, offsets: np.ndarray, with_space: bool) -> tuple
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; null is empty."""
+    """Bytes and offsets of a string column; null is empty. Memory that earlier batches held is given back first."""
+    pa.default_memory_pool().release_unused()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("").cast(pa.large_string())

@@ -28,10 +28,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomframe/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again."""
+def written(df: DataFrame, name: str, batch: int = 2000) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again. Arrow functions in its plan get ``batch`` rows at a time, which bounds their memory."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = df.sparkSession.conf.get(setting)
+    df.sparkSession.conf.set(setting, str(min(batch, int(before)) if int(before) > 0 else batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        df.sparkSession.conf.set(setting, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._loomframe_path = path
     return out
