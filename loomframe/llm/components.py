@@ -25,6 +25,12 @@ def _round(edges: DataFrame) -> DataFrame:
     return small.select(F.col("node"), F.col("least").alias("other")).unionByName(small.select(F.col("other").alias("node"), F.col("least").alias("other"))).filter("node > other").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """True if every node has one edge, to a root that has none: then the roots are the components."""
+    ends = edges.select(F.col("node").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("other").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("root").alias("root")).filter("up > 1 or up > 0 and root > 0").isEmpty()
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component): component is the smallest node reachable, for every node that has an edge.
 
@@ -32,12 +38,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """
     a, b = F.col(left).cast("long"), F.col(right).cast("long")
     now = written(edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("other")).filter(a.isNotNull() & b.isNotNull() & (a != b)).distinct(), "edges")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("node", "other").cast("decimal(38,0)"))).first())
-    seen = mark(now)
-    while seen[0]:
+    while not _stars(now):
         after = written(_round(now), "edges")
         dropped(now)
-        now, before, seen = after, seen, mark(after)
-        if seen == before:
-            break
+        now = after
     return now.select("node", F.col("other").alias("component")).unionByName(now.select(F.col("other").alias("node"), F.col("other").alias("component")).distinct())
