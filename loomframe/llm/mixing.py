@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.shared import dropped, written
+from loomframe.llm.shared import written
 
 BUCKETS = 4096
 DOMAINS = ("good_clean", "good_toxic", "poor_clean", "poor_toxic")
@@ -180,10 +180,10 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"))
     classifier = fit_classifier(packed, labels, id_column="_id", text_column="_text")
-    rows = written(classifier.posteriors(packed.select("_text"), "_text").drop("_text"), "mixing-posteriors")
+    # written once with the rows, so that neither the solver nor the copying reads a text for its posteriors again
+    rows = written(classifier.posteriors(packed, "_text").drop("_text"), "mixing-rows")
     steps, start, _ = rates_for(rows, targets)
-    dropped(rows)
     chance = F.pmod(F.xxhash64(F.coalesce("_id", F.lit(-1)), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     copies = F.floor(rate_column(steps, start) + chance).cast("int")
-    out = classifier.posteriors(packed, "_text").withColumn("_copies", copies).filter(F.col("_copies") > 0)
+    out = rows.withColumn("_copies", copies).filter(F.col("_copies") > 0)
     return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_k")).select("_row.*")
