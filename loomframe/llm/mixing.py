@@ -106,7 +106,7 @@ def rate_column(steps: list[list[float]], start: list[float]) -> Column:
     return F.aggregate(table, F.struct(begin.alias("before"), begin.alias("now")), step, lambda s: s["now"])
 
 
-def solve_rates(rows: DataFrame, targets: list[float], iterations: int = 60, close: float = 1e-9) -> tuple[list[list[float]], list[float], list[float]]:
+def solve_rates(rows: DataFrame, targets: list[float], iterations: int = 30, close: float = 1e-6) -> tuple[list[list[float]], list[float], list[float]]:
     """Steps, start and the totals reached; ``rows`` has _tokens and _p0, _p1, ..."""
     n = len(targets)
     p = [F.col(f"_p{d}") for d in range(n)]
@@ -137,11 +137,14 @@ def solve_rates(rows: DataFrame, targets: list[float], iterations: int = 60, clo
             scaled = np.linalg.solve(second + (1e-9 * float(np.trace(second)) + 1e-300) * np.eye(n), pace * (now - target))
             step = [0.0, *scaled.tolist()]
             after, moved = totals([*steps, step])
-            if loss(after) < 0.5 * loss(now):
+            if loss(after) < 0.98 * loss(now):
                 steps.append(step)
                 before, now, second, pace, pushed = after, after, moved, min(1.0, 2 * pace), 1.0
                 continue
-            pace, wait = max(pace / 2, 1e-3), 6
+            pace /= 2
+            if pace > 0.1:
+                continue
+            pace, wait = 1.0, 6
         # the scaled step runs into the bounds: plain gradient steps with momentum, which the next scaled step follows
         further = (1 + (1 + 4 * pushed * pushed) ** 0.5) / 2
         momentum = (pushed - 1) / further

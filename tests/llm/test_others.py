@@ -143,7 +143,7 @@ def test_unreachable_targets_end_at_a_least_squares_point(spark):
     df = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(tokens, p)], "_tokens long, _p0 double, _p1 double, _p2 double")
     total = float(tokens.sum())
     for targets in ([0.6 * total, 0.3 * total, 0.1 * total], [total, 0.0, 0.0]):
-        steps, start, reached = mixing.solve_rates(df, targets, iterations=25)
+        steps, start, reached = mixing.solve_rates(df, targets, iterations=60)
         r = np.array([x.r for x in df.withColumn("r", mixing.rate_column(steps, start)).collect()])
         assert (r >= 0).all()
         sums = (r * tokens) @ p
