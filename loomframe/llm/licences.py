@@ -6,6 +6,10 @@ a and b bigrams, 2 min(a, b) / (a + b) bounds the coefficient, so a template is
 compared with units of t b / (2 - t) to (2 - t) b / t bigrams. That bound is an
 equi-join on the number of bigrams with a table of a few thousand rows, whose size
 depends on the templates alone.
+
+The bound also says how many of a template's bigrams a unit must hold. Anchors are
+words chosen so that too few bigrams are left without one of them: a text that
+holds no anchor of any template can't match and isn't cut into units.
 """
 
 from __future__ import annotations
@@ -70,6 +74,20 @@ def size_bounds(n: int, least: float) -> tuple[int, int]:
     return ceil(least * n / (2 - least) - 1e-9), floor((2 - least) * n / least + 1e-9)
 
 
+def anchors(grams: list[str], least: float) -> set[str]:
+    """Words of four letters or more, and bigrams where none is left, of which each unit that reaches ``least`` holds at least one."""
+    needed = ceil(least * (max(1, size_bounds(len(grams), least)[0]) + len(grams)) / 2 - 1e-9)
+    left, chosen = set(grams), set()
+    while len(left) >= needed:
+        touched: dict[str, int] = {}
+        for gram in left:
+            for word in {w for w in gram.split(" ") if len(w) > 3}:
+                touched[word] = touched.get(word, 0) + 1
+        chosen.add(anchor := max(sorted(touched), key=lambda w: touched[w] + 2 * len(w)) if touched else max(sorted(left), key=len))
+        left = {gram for gram in left if gram != anchor and anchor not in gram.split(" ")}
+    return chosen
+
+
 def bigrams(text: Column) -> Column:
     """Distinct word bigrams of a normalised text."""
     words = F.filter(F.split(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " "), " "), lambda w: w != "")
@@ -94,11 +112,17 @@ def licence_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     shortest = min(sizes, default=1)
     text = F.col(text_column).cast("string")
     unit = lambda kind: lambda x, k: F.struct(F.lit(kind).alias("unit"), k.cast("int").alias("unit_no"), x.alias("part"))
-    lines = F.transform(F.split(text, "\n"), unit("line"))
-    paragraphs = F.split(text, "\n[ \t\r]*\n")
+    part = F.col("_text")
+    lines = F.transform(F.split(part, "\n"), unit("line"))
+    paragraphs = F.split(part, "\n[ \t\r]*\n")
     several = F.filter(F.transform(paragraphs, unit("paragraph")), lambda u: F.contains(u["part"], F.lit("\n")))
-    whole = F.when(F.size(paragraphs) > 1, F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("unit_no"), text.alias("part")))).otherwise(F.array().cast("array<struct<unit:string,unit_no:int,part:string>>"))
-    units = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.explode(F.concat(lines, several, whole)).alias("u")).select("doc_id", "u.unit", "u.unit_no", "u.part")
+    whole = F.when(F.size(paragraphs) > 1, F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("unit_no"), part.alias("part")))).otherwise(F.array().cast("array<struct<unit:string,unit_no:int,part:string>>"))
+    held = F.lit(False)
+    for word in sorted(set().union(*[anchors(grams, least) for _, _, grams in {name: (0, name, g) for _, name, g in rows}.values()])) if rows else []:
+        held = held | (F.col("_text").rlike("(?i)" + word.replace(" ", "[^A-Za-z0-9]+")) if " " in word else F.contains(F.col("_lower"), F.lit(word)))
+    # lower() maps more letters than A-Z, so it finds no fewer anchors
+    docs = docs.select(F.col(id_column).cast("long").alias("_id"), text.alias("_text"), F.lower(text).alias("_lower")).filter(F.coalesce(held, F.lit(False)))
+    units = docs.select(F.col("_id").alias("doc_id"), F.explode(F.concat(lines, several, whole)).alias("u")).select("doc_id", "u.unit", "u.unit_no", "u.part")
     # n bigrams take n + 1 words, and these at least 2 n + 1 characters
     units = units.filter(F.length("part") >= 2 * shortest + 1)
     grams = units.withColumn("grams", bigrams(F.col("part"))).withColumn("n", F.size("grams")).select("doc_id", "unit", "unit_no", "grams", "n")
