@@ -157,6 +157,46 @@ def test_unreachable_targets_end_at_a_least_squares_point(spark):
         assert np.linalg.norm(sums - targets) <= np.linalg.norm((b * tokens) @ p - targets) + 0.03 * total
 
 
+def least_distance(p, target):
+    """Of the target to the sums of rows with weights of 0 or more, by Lawson and Hanson's active sets."""
+    used, x = [], np.zeros(len(p))
+    while True:
+        slope = p @ (target - x @ p)
+        slope[used] = 0
+        if slope.max() < 1e-12:
+            return np.linalg.norm(target - x @ p)
+        used.append(int(slope.argmax()))
+        while True:
+            best = np.linalg.lstsq(p[used].T, target, rcond=None)[0]
+            if (best > 0).all():
+                x[used] = best
+                break
+            now = x[used]
+            low = best <= 0
+            now = now + (now[low] / (now[low] - best[low])).min() * (best - now)
+            x[used] = now
+            x[x < 1e-15] = 0
+            used = [k for k in used if x[k] > 0]
+
+
+def test_rates_by_default_settings_are_the_nearest(spark):
+    rng = np.random.default_rng(2)
+    even = rng.dirichlet([0.3, 0.3, 0.3], size=200), rng.integers(1, 500, 200)
+    odds = 1 / (1 + np.exp(-rng.normal([2.0, -3.0], [1.0, 1.5], (3000, 2))))
+    q, x = odds.T
+    skewed = np.stack([q * (1 - x), q * x, (1 - q) * (1 - x), (1 - q) * x], 1), rng.integers(1, 3000, 3000)
+    for (p, tokens), shares in ((even, [1, 0, 0]), (skewed, [0.9, 0.03, 0.06, 0.01]), (skewed, [0.03, 0.9, 0.01, 0.06]), (skewed, [0, 0, 0, 1])):
+        df = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(tokens, p)], ["_tokens", *[f"_p{d}" for d in range(len(shares))]]).coalesce(1).cache()
+        total = float(tokens.sum())
+        steps, start, reached = mixing.solve_rates(df, [x * total for x in shares])
+        r = np.array([x.r for x in df.select(mixing.rate_column(steps, start).alias("r")).collect()])
+        sums = (r * tokens) @ p / total
+        assert (r >= 0).all() and np.allclose(sums, np.array(reached) / total, atol=1e-7)
+        assert np.linalg.norm(sums - shares) <= least_distance(p, np.array(shares, float)) + 1e-5
+    with pytest.warns(UserWarning, match="mixing rates"):
+        mixing.solve_rates(df, [0.0, 0.0, 0.0, total], iterations=3)
+
+
 def test_mixing_of_odd_tables(spark):
     schema = "doc_id long, text string, rate double, _tokens long, source string"
     docs = spark.createDataFrame([(1, "good words here", 0.0, 1, "a"), (2, None, 0.0, 1, "a"), (3, "", 0.0, 1, "a"), (None, "bad words", 0.0, 1, "a"), (1, "good words here", 0.0, 1, "a")], schema)
