@@ -18,9 +18,15 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID rejects go: null texts and texts without a letter. All others stay, in whatever language."""
-    rows = langid.predict(docs, langid.fit(docs))
-    return rows.filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    """Documents that language ID rejects go: null texts and texts without a letter. All others stay, in whatever language.
+
+    The language predicted and its score decide nothing else. Without labelled text to learn from there is no
+    prediction, and the same documents go.
+    """
+    model = langid.fit(docs)
+    if model is None:
+        return docs.filter(langid.has_letter("text"))
+    return langid.predict(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -209,6 +209,14 @@ def test_mixing_of_odd_tables(spark):
     assert mixing.mixed(docs, labels).columns == docs.columns
 
 
+def test_language_stage_without_a_model_keeps_texts_with_letters(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame([(1, "the dog", None), (2, "der Hund", None), (3, "12 !", None), (4, None, None), (None, "un chien", None)], "doc_id long, text string, lang string")
+    kept = pipeline.language_id(spark, docs, DATA)
+    assert kept.columns == docs.columns and {r.text for r in kept.collect()} == {"the dog", "der Hund", "un chien"}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 
