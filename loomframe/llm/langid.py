@@ -68,7 +68,7 @@ def presence(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
                 continue
             bits = held if held is not None else np.zeros(1 << BITS, bool)
             for n, h in hashes:
-                bits[h[a : b - n + 1]] = True
+                bits[h[a : max(a, b - n + 1)]] = True
             if hi == lo + 1:
                 held, row = bits, lo
             else:

@@ -82,6 +82,16 @@ def test_long_text_has_the_bits_of_its_parts():
     assert (long_bits & ~short_bits).sum() == 0 and (short_bits & ~long_bits).sum() == 0
 
 
+def test_short_texts_have_only_their_own_bits():
+    import pyarrow as pa
+
+    for short in ("a", "ok", "é", "abc"):
+        (_, alone), = langid.presence(pa.array([short]))
+        (_, first), (_, second) = langid.presence(pa.array([short, "several other words of another text"]))
+        (_, after), = langid.presence(pa.array(["several other words of another text"]))
+        assert (first == alone).all() and (second == after).all()
+
+
 def dice(a, b):
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
