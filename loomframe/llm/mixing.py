@@ -184,15 +184,16 @@ def rates_for(rows: DataFrame, targets: dict[str, float]) -> tuple[list[list[flo
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_column: str = "doc_id", text_column: str = "text", seed: int = 11) -> DataFrame:
     """``docs`` with each row as often as its rate says, and the same columns.
 
-    A rate's whole part is taken as it is and the rest by a number between 0 and 1 that a hash of the id gives, so the
-    expected number of copies is the rate and every run gives the same rows.
+    A rate's whole part is taken as it is and the rest by a number between 0 and 1 that a hash of the id and the text
+    gives, so the expected number of copies is the rate and every run gives the same rows. Rows that agree in both
+    have the same number.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"))
+    packed = packed.withColumn("_chance", F.pmod(F.xxhash64(F.coalesce("_id", F.lit(-1)), F.col("_text"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40))
     classifier = fit_classifier(packed, labels, id_column="_id", text_column="_text")
     # written once with the rows, so that neither the solver nor the copying reads a text for its posteriors again
     rows = written(classifier.posteriors(packed, "_text").drop("_text"), "mixing-rows")
     steps, start, _ = rates_for(rows, targets)
-    chance = F.pmod(F.xxhash64(F.coalesce("_id", F.lit(-1)), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    copies = F.floor(rate_column(steps, start) + chance).cast("int")
+    copies = F.floor(rate_column(steps, start) + F.col("_chance")).cast("int")
     out = rows.withColumn("_copies", copies).filter(F.col("_copies") > 0)
     return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_k")).select("_row.*")

@@ -219,6 +219,15 @@ def test_mixing_of_odd_tables(spark):
     assert mixing.mixed(docs, labels).columns == docs.columns
 
 
+def test_rows_without_an_id_have_chances_of_their_own(spark):
+    docs = spark.createDataFrame([(None, f"word{k} word{k % 7} and so on") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    half = {d: 0.125 for d in mixing.DOMAINS}
+    taken = mixing.mixed(docs, labels, half)
+    assert {r.rate for r in mixing.mix(docs, labels, half).select(F.round("rate", 3).alias("rate")).collect()} == {0.5}
+    assert 140 < taken.count() < 260 and taken.distinct().count() == taken.count()
+
+
 def test_language_stage_without_a_model_keeps_texts_with_letters(spark):
     import corpus_pipeline as pipeline
 
