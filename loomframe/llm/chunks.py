@@ -8,12 +8,16 @@ a text without any such place makes a longer window.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WINDOW = 1 << 19
+#: Bytes of text that are taken of an Arrow batch at a time.
+SLICE = 1 << 21
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -98,9 +102,32 @@ def safe_spans(data: np.ndarray, offsets: np.ndarray, with_space: bool) -> tuple
     return np.sort(np.concatenate([first, cut if with_space else cut + 1])), np.sort(np.concatenate([cut, last]))
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; null is empty. Memory that earlier batches held is given back first."""
+def given_back() -> None:
+    """Return freed memory to the system: workers are kept between stages, and what they hold is taken from the next one."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text: Callable[[pa.RecordBatch], pa.Array] = lambda batch: batch.column("text"), size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches cut by rows so that each part has at most ``size`` bytes of text, but at least one row.
+
+    Batches of Spark are bounded by rows, and with long texts hold far more than a function should work on at once.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(text(batch)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo, before = 0, 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo, before = hi, int(ends[hi - 1])
+            given_back()
+    given_back()
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("").cast(pa.large_string())

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from loomframe.llm.chunks import text_bytes, windows
+from loomframe.llm.chunks import sliced, text_bytes, windows
 
 BITS = 16
 LENGTHS = (1, 2, 3, 4)
@@ -45,11 +45,18 @@ class Model:
 
 
 def presence(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, presence bits) of each text that isn't empty; a long text is gathered window by window."""
+    """(row, presence bits) of each text that isn't empty; a long text is gathered window by window.
+
+    The window after a cut begins with the last bytes before it, so n-grams over the cut count too.
+    """
     data, offsets = text_bytes(column)
-    held, row = None, -1
+    held, row, last = None, -1, np.empty(0, np.uint32)
     for lo, hi, piece, at in windows(data, offsets):
         codes = _SEEN[piece]
+        if row == lo:
+            codes = np.concatenate([last, codes])
+            at = np.array([0, len(codes)])
+        last = codes[len(codes) - max(LENGTHS) + 1 :] if len(codes) >= max(LENGTHS) else codes
         hashes, value = [], np.zeros(len(codes), np.uint32)
         for n in range(1, max(LENGTHS) + 1):
             if len(codes) < n:
@@ -114,7 +121,7 @@ def fit(docs: DataFrame, sample: int = 1600, landmarks: int = 256, ridge: float
 
 
 def _drawn_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         rows, bits = [], []
         for row, found in presence(batch.column("text")):
             rows.append(row)
@@ -172,10 +179,16 @@ def predict(docs: DataFrame, model: Model | None, text_column: str = "text") ->
 
     ``und`` with score 0 for null texts, texts without a letter, and when there is no model.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), has_letter(text_column).alias("letter"), F.col(text_column).cast("string").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), has_letter(text_column).alias("letter"))
+    place = docs.columns.index(text_column)
+    if not isinstance(docs.schema[place].dataType, StringType):
+        raise TypeError(f"{text_column} isn't a string")
+
+    def text(batch: pa.RecordBatch) -> pa.Array:
+        return batch.column("row").field(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text):
             n = batch.num_rows
             languages, found, letter = [UNKNOWN] * n, np.zeros(n), batch.column("letter").to_pylist()
             block, where = [], []
@@ -189,7 +202,7 @@ def predict(docs: DataFrame, model: Model | None, text_column: str = "text") ->
                     where.clear()
 
             if model is not None:
-                for row, bits in presence(batch.column("text")):
+                for row, bits in presence(text(batch)):
                     if letter[row]:
                         block.append(bits)
                         where.append(row)

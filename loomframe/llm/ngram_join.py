@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.chunks import mixed, span_hashes, text_bytes, windows, word_spans
+from loomframe.llm.chunks import mixed, sliced, span_hashes, text_bytes, windows, word_spans
 from loomframe.llm.components import components
 from loomframe.llm.shared import dropped, hot_join, partitions, released, rows_with, written
 
@@ -155,7 +155,7 @@ def _signatures(words: int):
             none = pa.nulls(len(values), pa.int64())
             return pa.record_batch([pa.array(np.ones(len(values), np.int32)), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64)), none, none, pa.nulls(len(values), pa.list_(pa.int64())), pa.nulls(len(values), pa.binary())], schema=arrow)
 
-        for batch in batches:
+        for batch in sliced(batches):
             rows = batch.num_rows
             sizes, k1, k2 = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
             bands: list[list[int] | None] = [None] * rows
@@ -211,7 +211,7 @@ def _prefixes(words: int, percent: int, common: np.ndarray, counts: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column("id").to_pylist()
             out, rows, sizes = [], [], []
             for row, values in shingle_sets(batch.column("text"), words):
@@ -265,7 +265,7 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, out, size = batch.column("id").to_pylist(), [], 0
             for row, values in shingle_sets(batch.column("text"), words):
                 out.append({"id": ids[row], "shingles": values.tobytes()})

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.chunks import SpanMemo, by_document, safe_spans, text_bytes, windows, word_spans
+from loomframe.llm.chunks import SpanMemo, by_document, safe_spans, sliced, text_bytes, windows, word_spans
 
 #: Longest unsplit span, in bytes, that is encoded in one piece.
 LEAF = 4096
@@ -65,7 +65,7 @@ def token_counts(df: DataFrame, model_path: str, limit: int = 4096, id_column: s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = piece_counter(model_path)
-        for batch in batches:
+        for batch in sliced(batches):
             data, offsets = text_bytes(batch.column("text"))
             tokens = np.zeros(batch.num_rows, np.int64)
             for lo, hi, piece, at in windows(data, offsets, words=False, skip=1):
@@ -192,7 +192,7 @@ def bpe_encode(df: DataFrame, path: str, id_column: str = "doc_id", text_column:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
             for lo, _, ids, counts in bpe.encode_windows(batch.column("text")):
                 for k, part in enumerate(np.split(ids, np.cumsum(counts)[:-1])):
@@ -221,12 +221,14 @@ def bpe_round_trip(df: DataFrame, path: str, id_column: str = "doc_id", text_col
     """doc_id, n_tokens, ids_sha256, decoded_sha256, whether the decoded text is the text (lossless), and with_ids also ids.
 
     Ids are hashed as little-endian unsigned 32-bit integers, the decoded text as UTF-8, both part by part,
-    so a long text is never decoded as a whole. Null or empty text: 0 tokens and the hashes of nothing.
+    so a long text is never decoded as a whole. Batches are cut by bytes, so besides one row's ids no more are held
+    than those of ``SLICE`` bytes. Null or empty text: 0 tokens and the hashes of nothing. Null and repeated ids stay
+    as they are, a row each; an empty table gives no rows.
     """
 
     def trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
-        for batch in batches:
+        for batch in sliced(batches):
             n = batch.num_rows
             tokens, hashes, texts = np.zeros(n, np.int64), [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
             flat: list[np.ndarray] = []
@@ -247,12 +249,10 @@ def bpe_round_trip(df: DataFrame, path: str, id_column: str = "doc_id", text_col
             if not with_ids:
                 yield pa.record_batch(columns, names)
                 continue
-            ends = np.concatenate([[0], np.cumsum(tokens)])
-            values = np.concatenate(flat) if flat else np.empty(0, np.int32)
-            for first in range(0, n, 1024):  # lists in pieces, so that a batch of long texts isn't sent as one
-                last = min(n, first + 1024)
-                lists = pa.ListArray.from_arrays(pa.array((ends[first : last + 1] - ends[first]).astype(np.int32)), pa.array(values[ends[first] : ends[last]]))
-                yield pa.record_batch([*(c.slice(first, last - first) for c in columns), lists], [*names, "ids"])
+            ends = np.concatenate([[0], np.cumsum(tokens)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
+            del flat
+            yield pa.record_batch([*columns, lists], [*names, "ids"])
 
     return _named(df, id_column, text_column).mapInArrow(trip, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean" + (", ids array<int>" if with_ids else ""))
 

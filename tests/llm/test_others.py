@@ -82,6 +82,20 @@ def test_long_text_has_the_bits_of_its_parts():
     assert (long_bits & ~short_bits).sum() == 0 and (short_bits & ~long_bits).sum() == 0
 
 
+def test_n_grams_over_a_cut_count(monkeypatch):
+    import pyarrow as pa
+
+    from loomframe.llm import chunks
+
+    rng = np.random.default_rng(8)
+    text = " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000))
+    (_, whole), = langid.presence(pa.array([text]))
+    windows = chunks.windows
+    monkeypatch.setattr(langid, "windows", lambda data, offsets: windows(data, offsets, size=64))
+    (_, parts), (_, other) = langid.presence(pa.array([text, "abc"]))
+    assert (parts == whole).all() and other.sum() == 6
+
+
 def test_short_texts_have_only_their_own_bits():
     import pyarrow as pa
 
