@@ -25,14 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.llm.chunks import sliced
 from loomframe.llm.shared import new_folder, partitions, written
 from loomframe.llm.tokens import word_bpe
 
 _MASK = 0xA282EAD8
 _ENTRY = np.dtype([("offset", "<i8"), ("length", "<i8"), ("before", "<i8")])
+#: Bytes of text of a shard, on average.
+SHARD = 256 << 20
 MANIFEST = "shard long, path string, width int, n_records long, n_ids long, n_bytes long"
 
 
@@ -65,37 +68,27 @@ def _read_frame(file, offset: int, length: int) -> bytes:
 def in_id_order(df: DataFrame, shards: int, id_column: str = "doc_id") -> DataFrame:
     """Rows dealt to ``shards`` ranges of near-equal size and sorted by id within each; null ids come first.
 
-    The bounds are quantiles from a scan of the id column alone. An id that repeats so often that it is several
-    bounds, null too, is dealt over all ranges between them by a hash of the row, which keeps the order.
+    Ranges are of the id and a hash of the row, so an id that repeats often, null too, is dealt over several ranges
+    without breaking the order. Ids are compared as whole numbers, exact over all of them.
     """
-    column = F.col(id_column)
-    known = F.coalesce(column.cast("double"), F.lit(float("-inf")))
-    bounds = df.select(known.alias("x")).approxQuantile("x", [k / shards for k in range(1, shards)], 0.25 / shards) if shards > 1 else []
-    if not bounds:
-        return df.coalesce(1).sortWithinPartitions(id_column)
-    table = F.split(F.lit(",".join("-Infinity" if x == float("-inf") else repr(x) for x in bounds)), ",").cast("array<double>")
-
-    def halved(s: Column, _: Column) -> Column:
-        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        above = F.get(table, middle) <= known
-        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(above, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(middle).alias("hi")))
-
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
-    at = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halved, lambda s: s["lo"])
-    for x in {x for x in bounds if bounds.count(x) > 1}:
-        first, n = bounds.index(x), bounds.count(x)
-        at = F.when(known == F.lit(x), F.lit(first + 1) + F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")).otherwise(at)
-    return df.repartitionById(shards, at).sortWithinPartitions(id_column)
+    order = F.col(id_column).asc_nulls_first()
+    return df.repartitionByRange(shards, order, F.xxhash64(*df.columns)).sortWithinPartitions(order)
 
 
 def write_records(df: DataFrame, tokenizer_path: str, folder: str, end_id: int | None = 1, shards: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Encode whole texts with the word vocabulary, append ``end_id`` to each, and write them in ascending id order.
 
-    Returns the manifest, one row a shard. Null or empty texts have only the end id. An empty table gives an empty manifest.
+    Returns the manifest, one row a shard. Without a given number there are as many shards as shuffle partitions, and
+    more if one would have over ``SHARD`` bytes of text on average. Null or empty texts have only the end id. Ids may
+    be any whole numbers of 64 bits; null ones come first and repeated ones stand together, in any order. An empty
+    table gives an empty manifest.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    rows = in_id_order(rows, shards or partitions(spark))
+    if shards is None:
+        n_bytes = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        shards = max(partitions(spark), -(-n_bytes // SHARD))
+    rows = in_id_order(rows, shards)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, context = word_bpe(tokenizer_path), TaskContext.get()
@@ -105,23 +98,23 @@ def write_records(df: DataFrame, tokenizer_path: str, folder: str, end_id: int |
         where, name = opened(path)
         kind = f"<u{width}"
         tail = np.array([end_id] if end_id is not None else [], kind).tobytes()
-        index, offset, ids_before, n_bytes, file = [], 0, 0, 0, None
+        index, offset, ids_before, n_records, file, entries = [], 0, 0, 0, None, None
 
         def put(doc_id: int | None, parts: list[bytes]) -> None:
-            nonlocal offset, ids_before
+            nonlocal offset, ids_before, n_records
             payload = b"".join([struct.pack("<?q", doc_id is not None, doc_id or 0), *parts, tail])
             file.write(frame(payload))
             index.append((offset, len(payload), ids_before))
             offset += len(payload) + 16
             ids_before += (len(payload) - 9) // width
+            n_records += 1
 
         try:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in sliced(batches):
                 if file is None:
                     where.create_dir(name.rpartition("/")[0], recursive=True)
                     file = where.open_output_stream(name, buffer_size=1 << 20)
+                    entries = where.open_output_stream(f"{name}.idx", buffer_size=1 << 16)
                 doc_ids = batch.column("doc_id").to_pylist()
                 long_parts: list[bytes] = []
                 open_row = None
@@ -141,13 +134,14 @@ def write_records(df: DataFrame, tokenizer_path: str, folder: str, end_id: int |
                         begin = end
                 if open_row is not None:
                     put(doc_ids[open_row], long_parts)
+                entries.write(np.array(index, _ENTRY).tobytes())
+                index.clear()
         finally:
-            if file is not None:
-                file.close()
+            for opened_file in (file, entries):
+                if opened_file is not None:
+                    opened_file.close()
         if file is not None:
-            with where.open_output_stream(f"{name}.idx") as out:
-                out.write(np.array(index, _ENTRY).tobytes())
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "width": width, "n_records": len(index), "n_ids": ids_before, "n_bytes": offset}], schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("width", pa.int32()), ("n_records", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "width": width, "n_records": n_records, "n_ids": ids_before, "n_bytes": offset}], schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("width", pa.int32()), ("n_records", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
     return written(rows.mapInArrow(write, MANIFEST), "records-manifest")
 

@@ -124,3 +124,30 @@ def test_an_id_of_most_rows_is_dealt_over_shards(spark):
     got = records.read_records(manifest).orderBy("start").collect()
     ids = [-1 if r.doc_id is None else r.doc_id for r in got]
     assert ids == sorted(ids) and sorted(ids) == sorted(-1 if r[0] is None else r[0] for r in rows)
+
+
+def test_ids_of_all_64_bits_keep_their_order(spark):
+    ids = [2**60 + k for k in range(300)] + [2**53 + k for k in range(-5, 6)] + [-(2**60) - k for k in range(50)] + [-1, 0, 1, 2**63 - 1, 2**63 - 2, -(2**63), -(2**63) + 1]
+    rows = [(x, f"text of {x}", 0.0, "", 1) for x in ids]
+    random.Random(4).shuffle(rows)
+    manifest = records.write_records(spark.createDataFrame(rows, DOCS).repartition(3), P.path("word_bpe_49k.json"), new_folder(spark, "test-ids"), shards=4)
+    got = records.read_records(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(ids) and manifest.count() > 1
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.record_batch({"text": pa.array(["a" * 10, None, "b" * 95, "c" * 300, "", "d" * 5])})
+    parts = list(chunks.sliced(iter([batch, batch.slice(0, 0), batch.slice(3)]), size=100))
+    assert [p.num_rows for p in parts] == [2, 1, 1, 2, 1, 2]
+    assert [x for p in parts for x in p.column("text").to_pylist()] == batch.column("text").to_pylist() + batch.column("text").to_pylist()[3:]
+    data, offsets = chunks.text_bytes(parts[3].column("text"))
+    assert data[offsets[0] : offsets[-1]].tobytes() == b"ddddd"
+
+
+def test_encoders_of_empty_tables_and_repeated_ids(spark):
+    path = P.path("byte_bpe_50k.json")
+    none = frame(spark).limit(0)
+    assert tokens.bpe_round_trip(none, path, with_ids=True).count() == tokens.bpe_encode(none, path).count() == 0
+    twice = frame(spark, ["one text"]).unionByName(frame(spark, ["one text"]))
+    assert tokens.bpe_round_trip(twice, path).groupBy("doc_id", "ids_sha256").count().filter("count = 2").count() == 2
+    assert tokens.token_counts(twice, P.path("piece_bpe_32k.model")).filter("doc_id = 0").count() == 2
