@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def combined(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.select("id", "name").unionByName(second.crossJoin(F.broadcast(shift)).select((F.col("id") + F.col("_shift")).alias("id"), "name"))
 
 
-def levels(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Topological levels (id, level) by rounds; nodes on or behind cycles never appear.
 
     A round releases the nodes all of whose edges come from released nodes. Repeated edges are released together.
@@ -32,7 +34,7 @@ def levels(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFram
     left = nodes.select("id").distinct()
     open_edges = edges.select("src", "dst")
     out = None
-    for level in range(rounds):
+    for level in count():
         free = keep(left.join(open_edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
         if free.isEmpty():
             break

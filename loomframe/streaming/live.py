@@ -15,8 +15,9 @@ PACKETS = "stream long, seq long, us long, is_key boolean, data binary"
 def assembled(chunks: DataFrame) -> DataFrame:
     """Messages from chunks (conn, chunk_stream, seq, message_length, message_type, ts, payload).
 
-    A stream's buffer grows by its chunks, in order within each batch, and a message is complete once it has
-    ``message_length`` bytes; it carries the last chunk's type and time.
+    A stream's buffer grows by its chunks, in order of ``seq`` within each batch, and a message is complete once it
+    has ``message_length`` bytes; it carries the last chunk's type and time, and what a chunk holds beyond it begins
+    the next message. Batches must come in order: a chunk that arrives after a later one was taken is appended.
     """
 
     def push(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -25,9 +26,11 @@ def assembled(chunks: DataFrame) -> DataFrame:
         rows = pd.concat(list(frames)).sort_values("seq")
         for length, kind, ts, payload in zip(rows["message_length"], rows["message_type"], rows["ts"], rows["payload"]):
             buffer += payload
-            if len(buffer) >= length:
+            if length == 0:
+                out.append((key[0], key[1], int(kind), int(ts), b""))
+            while len(buffer) >= length > 0:
                 out.append((key[0], key[1], int(kind), int(ts), buffer[:length]))
-                buffer = b""
+                buffer = buffer[length:]
         state.update((buffer,))
         yield pd.DataFrame(out, columns=["conn", "chunk_stream", "message_type", "ts", "payload"])
 

@@ -23,6 +23,20 @@ def test_messages_span_batches(spark, tmp_path):
     assert sorted((bytes(r.payload), r.ts) for r in got) == [(b"abcde", 11), (b"xy", 12)]
 
 
+def test_bytes_beyond_a_message_begin_the_next(spark, tmp_path):
+    import base64
+
+    row = lambda seq, data, n: '{"conn":1,"chunk_stream":3,"seq":%d,"message_length":%d,"message_type":9,"ts":0,"payload":"%s"}' % (seq, n, base64.b64encode(data).decode())
+    got = run(spark, tmp_path, [[row(0, b"abcdeXY", 5)], [row(1, b"Z", 3), row(2, b"", 0)]], "conn long, chunk_stream long, seq long, message_length long, message_type long, ts long, payload binary", live.assembled, "append")
+    assert [bytes(r.payload) for r in got] == [b"abcde", b"XYZ", b""]
+
+
+def test_windows_count_late_packets_until_the_watermark(spark, tmp_path):
+    row = lambda second, key: '{"stream":1,"ts":"2024-01-01T00:00:%02d","is_key":%s}' % (second, key)
+    got = run(spark, tmp_path, [[row(1, "true"), row(12, "false")], [row(3, "false"), row(40, "true")], [row(45, "false")], [row(2, "true"), row(59, "true")]], "stream long, ts timestamp, is_key boolean", lambda s: live.segment_counts(s, "10 seconds", "20 seconds").select("window.start", "n_packets", "n_keys"), "append")
+    assert sorted((r.start.second, r.n_packets, r.n_keys) for r in got) == [(0, 2, 1), (10, 1, 0)]
+
+
 def test_playlist_keeps_the_last(spark, tmp_path):
     row = lambda k: '{"stream":1,"index":%d,"duration":2.0}' % k
     got = run(spark, tmp_path, [[row(0), row(1)], [row(2), row(3), row(4)]], "stream long, index long, duration double", lambda s: live.playlists(s, 3), "update")
