@@ -2,45 +2,48 @@
 
 1. Every document's set of shingle hashes is made from its whole text. Documents
    with equal sets are one class, represented by its smallest id.
-2. Similar documents are put into groups: min-hash bands propose a leader for
-   each, and the exact comparison with the leader's set decides. The connected
-   groups are cut into blocks of at most ``BLOCK`` documents of near sizes.
-3. A document can only be similar to another if they share a shingle among the
-   first n - ceil(t n) + 1 of each, in one order for all: rare ones first, then
-   those that are common in the corpus. These (shingle, document) rows are the
-   sparse form of the token-group matrix; shingles of one document only go.
-4. Where a shingle is in several groups, its documents are queries to the blocks
-   of the groups with smaller ids. Bit rows of the matrix, in which each document
-   folds its shingles to parities, bound the distance of query and members from
-   below, and leave few blocks. Each of these gets the union of its members'
-   shingles; a query whose overlap with the union is under t times its own size
-   can't reach any member, so only the other blocks are opened and compared
-   member by member.
-
-Groups of copies never come as pairs, and no step holds more than a block, a
-query and a window of text.
+2. Similar documents are put into groups: those whose sets share a min-hash band
+   follow the same leader, mostly from a similarity of about one half on. A leader
+   is compared with its followers, and documents that are linked by this are a
+   group of their own. Groups are cut into blocks of bounded size and near sizes of
+   sets. No result depends on the grouping.
+3. The first shingles of a set, in one order for all, rare ones first, are its
+   prefix. As of two similar sets the larger one is the query, it asks with its
+   first n - ceil(t n) + 1 shingles for groups that hold one of them among the first
+   m - ceil(2 t m / (1 + t)) + 1 of a member: these (shingle, group) rows are the
+   sparse form of the token-group matrix.
+4. Each group that is asked for is stored as the union of its members' shingles and
+   each member's places in it. A query's overlap with the union bounds its overlap
+   with every member; only where the bound reaches the least overlap that any member
+   needs is the group opened and its members compared, all at once.
+
+Queries don't ask groups of documents that are all linked with them already, so
+groups of copies never come as pairs, and no step holds more than a group of bounded
+size, a query and a window of text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.chunks import mixed, sliced, span_hashes, text_bytes, windows, word_spans
+from loomframe.llm.chunks import given_back, mixed, sliced, span_hashes, text_bytes, windows, word_spans
 from loomframe.llm.components import components
 from loomframe.llm.shared import dropped, hot_join, partitions, released, rows_with, written
 
-BLOCK = 32
+#: Members of a group, and shingles of all of them together, if it has several.
+BLOCK, BLOCK_SHINGLES = 32, 1 << 20
 BANDS, ROWS = 8, 3
 #: Common shingles are known by at most so many entries; the order is right with any of them.
 COMMON = 1 << 18
 #: Shingles that a task counts at a time.
 COUNTED = 1 << 21
-#: Queries to a block that one task compares.
+#: Queries to a group that one task compares.
 QUERIES = 256
 _random = np.random.default_rng(7)
 _PLACES = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,13 +122,9 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 |a ∩ b| >= percent |a ∪ b| for sorted distinct arrays."""
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if 100 * len(small) < percent * len(large):
-        return False
-    both = int(overlap(small, large))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def needed_by_larger(n: int, percent: int) -> int:
+    """The least overlap that a set of n elements has with a similar one of no fewer."""
+    return -(-2 * percent * n // (100 + percent))
 
 
 def overlap(small: np.ndarray, large: np.ndarray) -> int:
@@ -205,7 +204,10 @@ def _common(signatures: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(words: int, percent: int, common: np.ndarray, counts: np.ndarray):
-    """(shingle, id, n) rows of each document's prefix; a set that the task has seen before is left out, its class has it already."""
+    """(shingle, id, n, indexed) rows of each document's prefix; indexed is true for those with which it is found by larger sets.
+
+    A set that the task has seen before is left out, its class has it already.
+    """
     hints = np.zeros(1 << 20, bool)
     hints[(common >> np.uint64(44)).astype(np.int64)] = True
 
@@ -213,14 +215,14 @@ def _prefixes(words: int, percent: int, common: np.ndarray, counts: np.ndarray):
         seen: set[tuple[int, int]] = set()
         for batch in sliced(batches):
             ids = batch.column("id").to_pylist()
-            out, rows, sizes = [], [], []
+            out, rows, sizes, first = [], [], [], []
             for row, values in shingle_sets(batch.column("text"), words):
                 if not len(values) or ids[row] is None:
                     continue
                 key = int(values.sum(dtype=np.uint64)), int(mixed(values * _PLACES[9]).sum(dtype=np.uint64))
                 if key in seen:
                     continue
-                if len(seen) < 1 << 20:
+                if len(seen) < 1 << 18:
                     seen.add(key)
                 n = len(values)
                 width = n - needed(n, percent) + 1
@@ -237,137 +239,209 @@ def _prefixes(words: int, percent: int, common: np.ndarray, counts: np.ndarray):
                 out.append(values[:width])
                 rows.append(ids[row])
                 sizes.append(n)
+                first.append(np.arange(width) <= n - needed_by_larger(n, percent))
             if out:
                 each = [len(x) for x in out]
-                yield pa.record_batch({"shingle": np.concatenate(out).view(np.int64), "id": np.repeat(rows, each), "n": np.repeat(sizes, each)})
+                yield pa.record_batch({"shingle": np.concatenate(out).view(np.int64), "id": np.repeat(rows, each), "n": np.repeat(sizes, each), "indexed": np.concatenate(first)})
 
     return run
 
 
-def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by shingle, those whose shingle isn't in one row only."""
-    last, last_kept = None, True
+def _met_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shingle, indexed ones first, those of shingles that are indexed and have several different rows."""
+    last = waiting = None
+    good = False
     for batch in batches:
         if not batch.num_rows:
             continue
-        s = batch.column("shingle").to_numpy()
-        same = s[1:] == s[:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        parts = []
-        if last is not None and last.column("shingle")[0].as_py() == s[0]:
-            keep[0] = True
-            if not last_kept:
-                parts.append(last)
-        parts.append(batch.filter(pa.array(keep)))
-        last, last_kept = batch.slice(batch.num_rows - 1), bool(keep[-1])
-        yield from (x for x in parts if x.num_rows)
+        s, who, n, indexed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "id", "n", "indexed"))
+        again = np.concatenate([[last is not None and last == (s[0], who[0], n[0])], (s[1:] == s[:-1]) & (who[1:] == who[:-1]) & (n[1:] == n[:-1])])
+        goes_on = last is not None and last[0] == s[0]
+        last = s[-1], who[-1], n[-1]
+        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        group = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]]))
+        sizes = np.add.reduceat((~again).astype(np.int64), starts)
+        first = indexed[starts].copy()
+        several = sizes > 1
+        if goes_on:
+            first[0] = good
+            several[0] |= sizes[0] > 0
+            if waiting is not None and good and several[0]:
+                yield waiting
+                waiting = None
+            elif waiting is None:
+                several[0] = True
+        keep = (first & several)[group] & ~again
+        good = bool(first[-1])
+        if len(starts) > 1 or not goes_on:
+            waiting = batch.slice(int(starts[-1]), 1) if good and sizes[-1] == 1 else None
+        if keep.any():
+            yield batch.filter(pa.array(keep))
 
 
 def _sets(words: int):
+    """(id, key, n, shingles) of each text's set; one that the task has given before for the id is left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in sliced(batches):
             ids, out, size = batch.column("id").to_pylist(), [], 0
             for row, values in shingle_sets(batch.column("text"), words):
-                out.append({"id": ids[row], "shingles": values.tobytes()})
+                key = int(mixed(values).sum(dtype=np.uint64).view(np.int64))
+                if (ids[row], key) in seen:
+                    continue
+                if len(seen) < 1 << 18:
+                    seen.add((ids[row], key))
+                out.append({"id": ids[row], "key": key, "n": len(values), "shingles": values.tobytes()})
                 size += 8 * len(values)
-                if size > 1 << 23:
+                if size > 1 << 22:
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
                     out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    arrow = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
+    arrow = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
     return run
 
 
+_GROUP = "block long, low long, n_union long, n_members int, bytes binary"
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams (block, id, shingles) sorted by block; gives each group as one row: ids, sizes, union, and all members' places in the union."""
+
+    def row(block: int, members: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([v for _, v in members]))
+        sizes = np.array([len(v) for _, v in members], np.int64)
+        places = np.concatenate([np.searchsorted(union, v) for _, v in members]).astype(np.int32)
+        blob = b"".join((np.array([i for i, _ in members], np.int64).tobytes(), sizes.tobytes(), union.tobytes(), places.tobytes()))
+        return pa.RecordBatch.from_pylist([{"block": block, "low": int(sizes.min()), "n_union": len(union), "n_members": len(members), "bytes": blob}], schema=arrow)
+
+    arrow = pa.schema([("block", pa.int64()), ("low", pa.int64()), ("n_union", pa.int64()), ("n_members", pa.int32()), ("bytes", pa.binary())])
+    block, members = None, []
+    for batch in batches:
+        shingles = batch.column("shingles")
+        for k, (key, doc) in enumerate(zip(batch.column("block").to_pylist(), batch.column("id").to_pylist())):
+            if key != block and members:
+                yield row(block, members)
+                members = []
+            block = key
+            members.append((doc, np.frombuffer(shingles[k].as_buffer(), np.uint64).copy()))
+    if members:
+        yield row(block, members)
+    given_back()
+
+
+class Group:
+    """A stored group. Its members' places are read only when it is opened."""
+
+    def __init__(self, low: int, n_union: int, n_members: int, blob: bytes):
+        self.low, self.blob, self.n_union, self.n_members = low, blob, n_union, n_members
+        self.union = np.frombuffer(blob, np.uint64, n_union, 16 * n_members)
+        self.members = None
+
+    def open(self) -> None:
+        if self.members is None:
+            self.ids = np.frombuffer(self.blob, np.int64, self.n_members)
+            self.sizes = np.frombuffer(self.blob, np.int64, self.n_members, 8 * self.n_members)
+            self.places = np.frombuffer(self.blob, np.int32, -1, 16 * self.n_members + 8 * self.n_union)
+            self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+            self.members = True
+
+    def linked(self, doc: int, values: np.ndarray, percent: int) -> list[int] | None:
+        """Ids of similar members; None if the bound of the overlap with the union leaves the group closed."""
+        at = np.searchsorted(self.union, values)
+        at[at == self.n_union] = 0
+        at = at[self.union[at] == values]
+        n = len(values)
+        if len(at) < max(needed(n, percent), -(-percent * (n + self.low) // (100 + percent))):
+            return None
+        self.open()
+        hit = np.zeros(self.n_union, bool)
+        hit[at] = True
+        both = np.add.reduceat(hit[self.places], self.starts, dtype=np.int64)
+        return self.ids[(100 * both >= percent * (n + self.sizes - both)) & (self.ids != doc)].tolist()
+
+
 def _opened(percent: int):
-    """Streams (block, part, role, id, shingles): first a block's members, whose union is made, then its queries."""
+    """Streams (block, part, role, id, low, n_union, n_members, bytes): a stored group, then its queries; gives links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, members, union = None, [], np.empty(0, np.uint64)
+        group = None
         for batch in batches:
             a, b = [], []
-            keys = zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("role").to_pylist(), batch.column("id").to_pylist())
-            shingles = batch.column("shingles")
-            for k, (gid, part, role, doc) in enumerate(keys):
-                if (gid, part) != block:
-                    block, members, union = (gid, part), [], None
-                values = np.frombuffer(shingles[k].as_buffer(), np.uint64)
+            blobs = batch.column("bytes")
+            for k, (role, doc, low, n_union, n_members) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("role", "id", "low", "n_union", "n_members")])):
                 if role == 0:
-                    members.append((doc, values.copy()))
-                    union = None
-                    continue
-                if union is None:
-                    union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([v for _, v in members])) if members else np.empty(0, np.uint64)
-                least = needed(len(values), percent)
-                if len(union) < least or overlap(values, union) < least:
+                    group = Group(low, n_union, n_members, blobs[k].as_py())
                     continue
-                for other, theirs in members:
-                    if other != doc and similar(values, theirs, percent):
-                        a.append(doc)
-                        b.append(other)
+                found = group.linked(doc, np.frombuffer(blobs[k].as_buffer(), np.uint64), percent)
+                if found:
+                    a += [doc] * len(found)
+                    b += found
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        given_back()
 
     return run
 
 
 def _near_enough(percent: int):
-    """Streams (block, part, role, id, n, bits): a block's members, then its queries; gives the queries that some member may be similar to."""
+    """Rows (id, n, bits, leader, leader_n, leader_bits): those whose bit rows leave it open that the two sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, members = None, []
         for batch in batches:
-            out_block, out_id = [], []
-            bits = batch.column("bits")
-            for k, (gid, part, role, doc, n) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("block", "part", "role", "id", "n")])):
-                if (gid, part) != block:
-                    block, members = (gid, part), []
-                row = np.frombuffer(bits[k].as_buffer(), np.uint8)
-                if role == 0:
-                    members.append((doc, n, row.copy()))
-                    continue
-                for other, m, theirs in members:
-                    # J = o / (n + m - o) >= t means n + m - 2 o <= (n + m)(1 - t) / (1 + t)
-                    if other != doc and 100 * min(n, m) >= percent * max(n, m) and (100 + percent) * least_distance(row, theirs) <= (100 - percent) * (n + m):
-                        out_block.append(gid)
-                        out_id.append(doc)
-                        break
-            yield pa.record_batch({"block": pa.array(out_block, pa.int64()), "id": pa.array(out_id, pa.int64())})
+            mine, theirs = batch.column("bits"), batch.column("leader_bits")
+            n, m = batch.column("n").to_numpy(), batch.column("leader_n").to_numpy()
+            # J = o / (n + m - o) >= t means n + m - 2 o <= (n + m)(1 - t) / (1 + t)
+            far = np.array([least_distance(np.frombuffer(mine[k].as_buffer(), np.uint8), np.frombuffer(theirs[k].as_buffer(), np.uint8)) for k in range(batch.num_rows)], np.int64)
+            near = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * far <= (100 - percent) * (n + m))
+            yield pa.record_batch([batch.column("leader").filter(pa.array(near)), batch.column("id").filter(pa.array(near))], ["block", "id"])
 
     return run
 
 
-def _met(queries: DataFrame, members: DataFrame, carried: DataFrame, given: list[str]) -> DataFrame:
-    """Rows of members (role 0) and queries (role 1) by block, with what ``carried`` has of each id. A block with many queries is sent to several tasks."""
-    parts = queries.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    asked = queries.join(parts, "block").select("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "id")
-    offered = members.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "id")
-    rows = asked.unionByName(offered).join(carried, "id").select("block", "part", "role", "id", *given)
-    return rows.repartition(partitions(queries.sparkSession), "block", "part").sortWithinPartitions("block", "part", "role", "id")
-
-
-def _links(queries: DataFrame, members: DataFrame, bits: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) of queries (block, id) to members (block, id), written."""
-    close = written(_met(queries, members, bits, ["n", "bits"]).mapInArrow(_near_enough(percent), "block long, id long"), "ngram-close")
-    opened = members.join(close.select("block").distinct(), "block", "left_semi")
-    needed_ids = close.select("id").unionByName(opened.select("id")).distinct()
-    needed_ids = written(needed_ids, "ngram-needed")
-    sets = written(rows_with(texts, needed_ids, "id").dropDuplicates(["id", "text"]).mapInArrow(_sets(words), "id long, shingles binary"), "ngram-sets")
-    links = written(_met(close, opened, sets, ["shingles"]).mapInArrow(_opened(percent), "a long, b long"), "ngram-links")
-    dropped(close, needed_ids, sets)
-    released(queries.sparkSession)
+def _links(queries: DataFrame, members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of queries (block, id) to members (block, id), written. A group with many queries is sent to several tasks."""
+    spark = queries.sparkSession
+    n = partitions(spark)
+    parts = written(queries.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), "ngram-parts")
+    asked = written(members.join(parts, "block", "left_semi"), "ngram-asked")
+    needed_ids = written(queries.select("id").unionByName(asked.select("id")).distinct(), "ngram-needed")
+    near = rows_with(texts, needed_ids, "id", exact=False)
+    sets = near.mapInArrow(_sets(words), "id long, key long, n long, shingles binary").dropDuplicates(["id", "n", "key"])
+    sets = written(sets.join(needed_ids, "id", "left_semi").select("id", "shingles"), "ngram-sets")
+    of_block = asked.join(sets, "id").select("block", "id", "shingles").repartition(n, "block").sortWithinPartitions("block", "id")
+    groups = written(of_block.mapInArrow(_stored, _GROUP), "ngram-groups")
+    none = F.lit(None)
+    offered = groups.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), none.cast("long").alias("id"), "low", "n_union", "n_members", "bytes")
+    asking = queries.join(parts, "block").select("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
+    asking = asking.join(sets, "id").select("block", "part", F.lit(1).alias("role"), "id", none.cast("long").alias("low"), none.cast("long").alias("n_union"), none.cast("int").alias("n_members"), F.col("shingles").alias("bytes"))
+    work = offered.unionByName(asking).repartition(n, "block", "part").sortWithinPartitions("block", "part", "role")
+    links = written(work.mapInArrow(_opened(percent), "a long, b long"), "ngram-links")
+    dropped(parts, asked, needed_ids, sets, groups)
+    released(spark)
     return links
 
 
-def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links, itself included).
+class Prepared(NamedTuple):
+    """What the join knows before groups are opened; all tables are written."""
 
-    Texts without words, and null ones, have no shingles and link with nothing. A null id links with nothing and
-    has a null component. Rows that repeat an id are one document with the links of all of them. An empty table
-    gives no rows. Other columns of the input don't matter, whatever their names.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    rows: DataFrame
+    """id, n of every input row."""
+    copies: DataFrame
+    """id, first: ids whose set is that of a smaller id."""
+    stars: DataFrame
+    """a, b: links of followers with their leaders."""
+    members: DataFrame
+    """block, id: who is in which group."""
+    queries: DataFrame
+    """block, id: which document asks which group."""
+    gone: list[DataFrame]
+
+
+def prepared(texts: DataFrame, words: int = 5, percent: int = 75) -> Prepared:
+    """Classes, groups and the queries of texts (id, text) to groups."""
+    spark = texts.sparkSession
     signatures = written(texts.mapInArrow(_signatures(words), _SIGNATURES), "ngram-signatures")
     common, counts = _common(signatures)
     rows = signatures.filter("kind = 0").select("id", "n", "k1", "k2", "bands", "bits")
@@ -375,53 +449,63 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: st
     classes = written(known.groupBy("n", "k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "ngram-classes")
     repeated = written(classes.filter("copies > 1").drop("bands", "bits"), "ngram-repeated")
     copies = written(hot_join(known.select("id", "n", "k1", "k2"), repeated, ["n", "k1", "k2"]).filter("first < id").select("id", "first"), "ngram-copies")
-    bits = classes.select(F.col("first").alias("id"), "n", "bits")
 
     bands = classes.select(F.col("first").alias("id"), F.explode("bands").alias("band")).distinct()
-    leaders = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("copies")).filter("copies > 1")
-    leaders = written(leaders, "ngram-leaders")
-    proposed = written(hot_join(bands, leaders, ["band"]).groupBy("id").agg(F.min("leader").alias("leader")).filter("leader < id"), "ngram-proposed")
-    stars = _links(proposed.select(F.col("leader").alias("block"), "id"), proposed.select(F.col("leader").alias("block"), F.col("leader").alias("id")).distinct(), bits, texts, words, percent)
-    groups = written(components(stars, "a", "b"), "ngram-groups")
-    dropped(leaders, proposed)
+    leaders = written(bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("copies")).filter("copies > 1"), "ngram-leaders")
+    follows = written(hot_join(bands, leaders, ["band"]).groupBy("id").agg(F.min("leader").alias("leader")).filter("leader < id"), "ngram-follows")
+    # a leader's bit row goes to as many places as it may have to, by a join on the leader that splits hot ones
+    bits = classes.select(F.col("first").alias("id"), "n", "bits")
+    crowds = written(follows.groupBy("leader").agg(F.count("*").alias("copies")), "ngram-crowds")
+    led = written(crowds.join(bits.withColumnsRenamed({"id": "leader", "n": "leader_n", "bits": "leader_bits"}), "leader"), "ngram-led")
+    pairs = hot_join(follows.join(bits, "id"), led, ["leader"]).filter("leader_bits is not null").select("id", "n", "bits", "leader", "leader_n", "leader_bits")
+    close = written(pairs.mapInArrow(_near_enough(percent), "block long, id long"), "ngram-close")
+    stars = _links(close, close.select("block", F.col("block").alias("id")).distinct(), texts, words, percent)
+    linked = written(components(stars, "a", "b"), "ngram-linked")
+    dropped(leaders, crowds, led, close)
     released(spark)
 
-    found = texts.mapInArrow(_prefixes(words, percent, common, counts), "shingle long, id long, n long")
-    found = found.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle").mapInArrow(_shared_only, "shingle long, id long, n long")
-    matrix = written(found, "ngram-matrix")
-    del found
+    cells = "shingle long, id long, n long, indexed boolean"
+    in_order = lambda df: df.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle", F.desc("indexed"), "id", "n").mapInArrow(_met_only, cells)
+    found = written(in_order(texts.mapInArrow(_prefixes(words, percent, common, counts), cells)), "ngram-prefixes")
+    released(spark)
+    matrix = written(in_order(found.join(copies, "id", "left").select("shingle", F.coalesce("first", "id").alias("id"), "n", "indexed")), "ngram-matrix")
+    dropped(found)
     released(spark)
-    single = matrix.join(copies, "id", "left").select("shingle", F.coalesce("first", "id").alias("id"), "n").distinct()
-    alone = single.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1").select("shingle")
-    matrix2 = written(single.join(alone, "shingle"), "ngram-matrix")
-    dropped(matrix)
-
-    cells = matrix2.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = cells.groupBy("shingle").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).filter("lowest < highest").select("shingle")
-    cells = written(cells.join(several, "shingle"), "ngram-cells")
-    # blocks of near sizes within each group; only grouped documents are numbered, by size classes, so that no task sorts a whole group
+
+    # groups: documents that are linked, else those of one leader; cut by size classes, and by a hash where there are still too many
     size_class = F.floor(F.log2(F.col("n").cast("double")) * 4).cast("int")
-    documents = cells.select("id", "n", "component").distinct()
-    documents = documents.withColumn("size_class", size_class)
-    crowds = written(documents.groupBy("component", "size_class").agg(F.count("*").alias("copies")), "ngram-crowds")
-    blocks = hot_join(documents, crowds.filter("copies > 1"), ["component", "size_class"]).withColumn("slot", F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(F.col("copies") / BLOCK)), F.lit(0)))
-    blocks = written(blocks.select("id", "n", "component", F.xxhash64("component", "size_class", "slot").alias("block")), "ngram-blocks")
-    bounds = blocks.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    in_block = cells.join(blocks.select("id", "block"), "id")
-    per_shingle = in_block.select("shingle", "block", F.col("component").alias("other")).distinct().join(bounds, "block")
-    queries = (
-        in_block.select("shingle", "id", "n", "component")
-        .join(per_shingle, "shingle")
-        .filter((F.col("component") > F.col("other")) & (100 * F.col("n") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("n")))
-        .select("block", "id")
-        .distinct()
-    )
-    queries = written(queries, "ngram-queries")
-    dropped(matrix2, cells)
-    more = _links(queries, blocks.select("block", "id"), bits, texts, words, percent)
-    edges = stars.unionByName(more).unionByName(copies.select(F.col("id").alias("a"), F.col("first").alias("b")))
-    final = written(components(edges, "a", "b"), "ngram-components")
-    dropped(crowds, blocks, queries, stars, more, groups, classes, repeated, copies)
+    named = matrix.select("id", "n").distinct().join(linked.withColumnRenamed("node", "id"), "id", "left").join(follows, "id", "left")
+    named = named.select("id", "n", size_class.alias("size_class"), F.coalesce("component", "id").alias("component"), F.xxhash64(F.col("component").isNull(), F.coalesce("component", "leader", "id")).alias("grp"))
+    documents = written(named, "ngram-documents")
+    crowds = written(documents.groupBy("grp", "size_class").agg(F.count("*").alias("copies"), F.sum("n").alias("shingles")), "ngram-crowds")
+    slots = F.greatest(F.ceil(F.col("copies") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    blocks = hot_join(documents, crowds, ["grp", "size_class"]).select("id", "n", "component", F.xxhash64("grp", "size_class", F.pmod(F.xxhash64("id"), slots)).alias("block"))
+    blocks = written(blocks, "ngram-blocks")
+    ranges = blocks.groupBy("block").agg(F.max("n").alias("high"), F.min("component").alias("lowest"), F.max("component").alias("highest"))
+    rows_of_matrix = matrix.join(blocks, ["id", "n"])
+    by_group = rows_of_matrix.filter("indexed").groupBy("shingle", "block").agg(F.min("n").alias("least")).join(ranges, "block")
+    met = rows_of_matrix.select("shingle", "id", "n", "component").join(by_group, "shingle")
+    other = ~((F.col("lowest") == F.col("component")) & (F.col("highest") == F.col("component")))
+    queries = written(met.filter(other & (F.col("n") >= F.col("least")) & (100 * F.col("high") >= percent * F.col("n"))).select("block", "id").distinct(), "ngram-queries")
+    dropped(matrix, documents, crowds, linked, follows)
     released(spark)
-    out = rows.select("id", "n").join(final.select(F.col("node").alias("id"), "component"), "id", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return Prepared(rows.select("id", "n"), copies, stars, blocks.select("block", "id"), queries, [signatures, classes, repeated, copies, stars, blocks, queries])
+
+
+def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links, itself included).
+
+    Texts without words, and null ones, have no shingles and link with nothing. A null id links with nothing and
+    has a null component. Rows that repeat an id are one document with the links of all of them. An empty table
+    gives no rows. Other columns of the input don't matter, whatever their names.
+    """
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    known = prepared(texts, words, percent)
+    more = _links(known.queries, known.members, texts, words, percent)
+    edges = known.stars.unionByName(more).unionByName(known.copies.select(F.col("id").alias("a"), F.col("first").alias("b")))
+    final = written(components(edges, "a", "b"), "ngram-components")
+    out = known.rows.join(final.select(F.col("node").alias("id"), "component"), "id", "left")
+    out = written(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "ngram-result")
+    dropped(final, more, *known.gone)
+    released(docs.sparkSession)
+    return out

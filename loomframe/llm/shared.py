@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset, as in local tests."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset and one machine runs all, as in tests."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_dir:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="loomframe-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/") if "://" in set_dir else "file://" + set_dir.rstrip("/")
@@ -28,16 +30,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomframe/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = "8m"
+
+
 def written(df: DataFrame, name: str, batch: int = 2000) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again. Arrow functions in its plan get ``batch`` rows at a time, which bounds their memory."""
-    path = new_folder(df.sparkSession, name)
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = df.sparkSession.conf.get(setting)
-    df.sparkSession.conf.set(setting, str(min(batch, int(before)) if int(before) > 0 else batch))
+    """``df`` written as a table in the shared folder and read again.
+
+    Arrow functions in its plan get ``batch`` rows and ``BATCH_BYTES`` at a time, which bounds their memory.
+    """
+    path, conf = new_folder(df.sparkSession, name), df.sparkSession.conf
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {setting: conf.get(setting) for setting in (rows, size)}
+    conf.set(rows, str(min(batch, int(before[rows])) if int(before[rows]) > 0 else batch))
+    conf.set(size, BATCH_BYTES)
     try:
         df.write.parquet(path)
     finally:
-        df.sparkSession.conf.set(setting, before)
+        for setting, value in before.items():
+            conf.set(setting, value)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._loomframe_path = path
     return out
@@ -64,13 +75,17 @@ def released(spark: SparkSession) -> None:
 FILTER_ROWS, FILTER_BITS = 1 << 18, 62
 
 
-def rows_with(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """``df`` left-semi joined with ``ids``; a bit filter of bounded size is broadcast first, so few other rows are shuffled."""
+def rows_with(df: DataFrame, ids: DataFrame, column: str, exact: bool = True) -> DataFrame:
+    """``df`` left-semi joined with ``ids``; a bit filter of bounded size is broadcast first, so few other rows are shuffled.
+
+    With ``exact`` false the filter is all: some other rows stay, and nothing is shuffled.
+    """
     row = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_ROWS)).cast("int")
     bit = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(FILTER_BITS)).cast("int")
     bits = ids.groupBy(row(F.col(column)).alias("_row")).agg(F.bit_or(F.expr("1L") * F.pow(F.lit(2.0), bit(F.col(column))).cast("long")).alias("_bits"))
     near = df.withColumn("_row", row(F.col(column))).join(F.broadcast(bits), "_row").filter(F.getbit("_bits", bit(F.col(column))) == 1)
-    return near.select(*df.columns).join(ids, column, "left_semi")
+    near = near.select(*df.columns)
+    return near.join(ids, column, "left_semi") if exact else near
 
 
 def partitions(spark: SparkSession) -> int:

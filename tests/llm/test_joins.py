@@ -163,3 +163,53 @@ def test_top_k_is_brute_force(spark, seed, monkeypatch):
     got = topk.top_k(spark.createDataFrame(rows, VECTORS).repartition(3), every=20).collect()
     assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == want and len(got) == len(want)
     assert topk.top_k(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+@pytest.mark.parametrize("own", [[20], [14, 18, 23, 30]])
+def test_templated_pages_ask_few_groups(spark, own):
+    rng = random.Random(1)
+    word = lambda: str(rng.randrange(10**9))
+    shared, n = [word() for _ in range(100)], 300
+    rows = [(k, " ".join(shared + [word() for _ in range(rng.choice(own))])) for k in range(n)]
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(5)]
+    known = ngram_join.prepared(spark.createDataFrame(rows, "id long, text string").repartition(3))
+    assert known.queries.count() < n * n / 2 / 20
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_bounds_close_groups_and_opened_ones_are_exact():
+    rng = np.random.default_rng(5)
+    closed = 0
+    for _ in range(300):
+        base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+        member = lambda: np.unique(np.concatenate([rng.choice(base, rng.integers(1, 60), replace=False), rng.integers(0, 2**63, rng.integers(0, 20), dtype=np.uint64)]))
+        members = [(k, member()) for k in range(rng.integers(1, 6))]
+        import pyarrow as pa
+
+        rows = pa.RecordBatch.from_pylist([{"block": 4, "id": k, "shingles": v.tobytes()} for k, v in members])
+        (stored,) = [b.to_pylist()[0] for b in ngram_join._stored(iter([rows]))]
+        group = ngram_join.Group(stored["low"], stored["n_union"], stored["n_members"], stored["bytes"])
+        query = member()
+        found = group.linked(99, query, 75)
+        closed += found is None
+        assert (found or []) == [k for k, v in members if 100 * len(np.intersect1d(query, v)) >= 75 * len(np.union1d(query, v))]
+    assert 20 < closed < 290
+
+
+def test_streams_keep_shingles_that_are_met():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    for _ in range(200):
+        rows = sorted({(rng.randrange(6), not rng.random() < 0.6, rng.randrange(4), 5) for _ in range(rng.randrange(12))} | set())
+        rows = sorted([r for r in rows for _ in range(rng.choice([1, 1, 2]))])
+        want = [r for r in sorted(set(rows)) if len({x for x in rows if x[0] == r[0]}) > 1 and not min(x[1] for x in rows if x[0] == r[0])]
+        batches, at = [], 0
+        while at < len(rows):
+            n = rng.randint(1, 4)
+            part = rows[at : at + n]
+            batches.append(pa.record_batch({"shingle": [r[0] for r in part], "id": [r[2] for r in part], "n": [r[3] for r in part], "indexed": [not r[1] for r in part]}))
+            at += n
+        got = [(s, not i, k, n) for b in ngram_join._met_only(iter(batches)) for s, k, n, i in zip(*b.to_pydict().values())]
+        assert sorted(got) == want
