@@ -27,7 +27,8 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Topological levels (id, level) by rounds; nodes on or behind cycles never appear.
 
     A round releases the nodes all of whose edges come from released nodes. Repeated edges are released together.
-    The table of released nodes is written to a checkpoint each round where one is set, so plans stay short.
+    The table of released nodes is written to a checkpoint each round where one is set, so plans stay short. A round
+    is a job, so this is for graphs of many nodes and few levels.
     """
     spark = nodes.sparkSession
     keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
@@ -61,3 +62,43 @@ def chain(df: DataFrame, keys: list[str], order: list[str], node: str) -> DataFr
     """Transitions (src, dst) between neighbours of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.select(*keys, F.col(node).alias("src"), F.lead(node).over(w).alias("dst")).filter("dst is not null")
+
+
+def positions(df: DataFrame, key: str, ties: list[str], buckets: int = 256, name: str = "position") -> DataFrame:
+    """Rows numbered from 0 by a numeric key, without a task that sorts all of them.
+
+    At most ``buckets`` quantiles of the key part the rows; only these and the number of rows in each come to the
+    driver. Rows of one key stay together, so a key of many rows is one task's.
+    """
+    bounds = sorted(set(df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [k / buckets for k in range(1, buckets)], 0.5 / buckets)))
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    parted = df.withColumn("_bucket", bucket)
+    before, total = {}, 0
+    for row in sorted(parted.groupBy("_bucket").agg(F.count("*").alias("n")).collect()):
+        before[row["_bucket"]], total = total, total + row["n"]
+    offset = F.try_element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_bucket")) if before else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, *ties)) - 1
+    return parted.withColumn(name, offset.cast("long") + place).drop("_bucket")
+
+
+def added(nodes: DataFrame, order: str, start: int = 0) -> DataFrame:
+    """Nodes with dense ids from ``start`` in the order they are added."""
+    return positions(nodes, order, [], name="id").withColumn("id", F.col("id") + start)
+
+
+def named_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with the names of both ends; an end that is no node has none."""
+    side = lambda end: nodes.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name"))
+    return edges.join(side("src"), "src", "left").join(side("dst"), "dst", "left")
+
+
+def independent_sets(levels: DataFrame) -> DataFrame:
+    """The nodes of each level in ascending order: what may run side by side."""
+    return levels.groupBy("level").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count("*").alias("n"))
+
+
+def regions(members: DataFrame, group: str, node: str) -> DataFrame:
+    """A region for each group of two or more, and its edges to the members: (region, description, member)."""
+    sized = members.groupBy(group).agg(F.count("*").alias("_n")).filter("_n >= 2")
+    named = sized.select(group, F.format_string("Parallel region #%d: %d nodes", F.col(group).cast("long"), "_n").alias("description"))
+    return members.join(named, group).select(F.col(group).alias("region"), "description", F.col(node).alias("member"))

@@ -176,3 +176,16 @@ def restored(residual: np.ndarray, width: int) -> np.ndarray:
         guess = (out[k - width] if row else 0) if col == 0 else out[k - 1] if not row else _guess(out[k - 1], out[k - width], out[k - width - 1])
         out[k] = (r[k] + guess) & 255
     return np.array(out, np.uint8)
+
+
+def plane_checksums(planes: DataFrame, data: str = "data", bit_depth: str = "bit_depth") -> DataFrame:
+    """Rows with ``checksum``: CRC-32 of the bytes, or for samples of 16 bits and more the 64-bit one, as a number with sign; null for null."""
+    from loomframe.sources.messages import mixed_crc64
+
+    @F.pandas_udf("long")
+    def wide(column: pd.Series) -> pd.Series:
+        signed = lambda v: v - (1 << 64) if v >> 63 else v
+        return pd.Series([None if x is None else signed(mixed_crc64(bytes(x))) for x in column], dtype="Int64")
+
+    deep = F.col(bit_depth) >= 16
+    return planes.withColumn("checksum", F.when(deep, wide(F.when(deep, F.col(data)))).otherwise(F.crc32(data)))

@@ -64,8 +64,12 @@ def segments(df: DataFrame, keys: Names, order: Names, starts: Column) -> DataFr
 def keep_last(df: DataFrame, keys: Names, order: Names, n: int) -> DataFrame:
     """A sliding playlist: the last n rows of each key, with media_sequence, the number of rows that went."""
     last = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    counted = df.withColumn("_rank", F.row_number().over(last)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    return counted.filter(F.col("_rank") <= n).withColumn("media_sequence", F.greatest(F.col("_n") - n, F.lit(0)).cast("long")).drop("_rank", "_n")
+    kept = df.withColumn("_rank", F.row_number().over(last)).filter(F.col("_rank") <= n).drop("_rank")
+    gone = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.greatest(F.count("*") - n, F.lit(0)).cast("long").alias("media_sequence"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return kept.join(gone, same).select(*df.columns, "media_sequence")
 
 
 def evict_to(df: DataFrame, keys: Names, order: Names, n: int) -> DataFrame:

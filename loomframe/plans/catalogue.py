@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.functions import media as M
 from loomframe.operators import graph as G
 from loomframe.operators import signal as S
 from loomframe.operators import timeline as T
+from loomframe.plans.registry import LINE_ORDER, ORDER, QUERIES, SQL, query
+from loomframe.plans.registry import events as _events
+from loomframe.plans.registry import lines as _lines
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-ORDER = ["us", "event_id"]
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _events(t, *more: str) -> DataFrame:
-    return t("events").select("event_id", "user_id", "event_type", M.micros("ts").alias("us"), *more)
-
-
-def _lines(t) -> DataFrame:
-    return t("lineitem")
-
-
-LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
+__all__ = ["QUERIES", "SQL"]
 _FOURCC = {"click": "avc1", "view": "hvc1", "purchase": "av01", "signup": "mp4a"}
 
 
@@ -161,9 +139,10 @@ def key_semi(t):
     return t("orders").join(_lines(t).filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def missing_anti(t):
-    return t("customer").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    returned = _lines(t).filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return t("orders").join(returned, "o_orderkey", "left_anti").select("o_orderkey")
 
 
 @query("""SELECT event_id, coalesce(CASE WHEN event_type <> 'error' THEN value END, last_value(CASE WHEN event_type <> 'error' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shown FROM events""")
@@ -400,10 +379,7 @@ def _spread_sql(v: str) -> str:
 def morton_order(t):
     key = M.morton(F.col("p_partkey") % 32, F.col("p_size") % 32, F.floor(F.col("p_partkey") / 32) % 32)
     keyed = t("part").select("p_partkey", key.alias("morton"))
-    # positions by counts of lower octants, so that no task sorts all rows
-    octant = keyed.withColumn("octant", F.shiftright("morton", 9))
-    before = octant.groupBy("octant").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("octant").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).select("octant", "before")
-    return octant.join(F.broadcast(before), "octant").select("p_partkey", "morton", (F.col("before") + F.row_number().over(Window.partitionBy("octant").orderBy("morton", "p_partkey"))).alias("position"))
+    return G.positions(keyed, "morton", ["p_partkey"]).withColumn("position", F.col("position") + 1)
 
 
 # --- sets and graphs
@@ -498,13 +474,12 @@ def hadamard4(t):
     return e.select("vec_id", *[h.alias(f"h{k}") for k, h in enumerate(S.hadamard4([F.col(f"v{k}") for k in range(4)]))])
 
 
-@query("""SELECT tx, ty, g.v FROM (SELECT unnest(range(40)) AS tx) CROSS JOIN (SELECT unnest(range(30)) AS ty) JOIN (SELECT event_id % 100 AS x, event_id // 100 AS y, CAST(round(value * 100) AS BIGINT) AS v FROM events) g
-    ON g.x = tx * 100 // 40 AND g.y = ty * 100 // 30""")
+@query("""WITH g AS (SELECT event_id % 100 AS x, event_id // 100 AS y, CAST(round(value * 100) AS BIGINT) AS v FROM events), h AS (SELECT max(y) + 1 AS h FROM g),
+    t AS (SELECT h, unnest(range(CAST(greatest(h * 3 // 10, 1) AS BIGINT))) AS ty, greatest(h * 3 // 10, 1) AS th FROM h)
+    SELECT tx, ty, g.v FROM (SELECT unnest(range(40)) AS tx) CROSS JOIN t JOIN g ON g.x = tx * 100 // 40 AND g.y = ty * h // th""")
 def scale_nn(t):
-    spark = t("events").sparkSession
-    target = spark.range(40 * 30).select((F.col("id") % 40).alias("tx"), F.floor(F.col("id") / 40).alias("ty"))
-    target = target.withColumn("x", S.nearest_source(F.col("tx"), 100, 40)).withColumn("y", S.nearest_source(F.col("ty"), 100, 30))
-    return target.join(_grid(t), ["x", "y"]).select("tx", "ty", "v")
+    """The whole grid, of whatever height, to two fifths of its width and three tenths of its height."""
+    return S.scaled_grid(_grid(t), "x", "y", 100, 40, 3, 10).select("tx", "ty", "v")
 
 
 @query("SELECT p_partkey, printf('segment%05d.ts', p_partkey) AS name FROM part")
@@ -588,3 +563,6 @@ def slot_refresh(t):
 @query("""SELECT event_id, mate_event_id FROM (SELECT event_id, user_id, event_type, event_id % 2 AS parity, lead(event_id) OVER w AS mate_event_id, lead(event_type) OVER w AS mate_type, lead(event_id % 2) OVER w AS mate_parity FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type = mate_type AND parity <> mate_parity""")
 def field_pair(t):
     return T.paired(_events(t), ["user_id"], ORDER, F.col("event_type"), F.col("event_id") % 2).select("event_id", "mate_event_id")
+
+
+from loomframe.plans import formats, pictures, references  # noqa: E402, F401  they register their queries

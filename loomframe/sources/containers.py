@@ -11,11 +11,12 @@ import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.functions import media as M
 from loomframe.operators import timeline as T
+from loomframe.sources.messages import SAMPLE_RATES
 
 Row = dict[str, object]
 #: Boxes that hold boxes.
@@ -83,6 +84,20 @@ def _u32s(data: bytes, at: int, n: int, width: int = 1, code: str = "I") -> list
     return list(struct.iter_unpack(f">{code * width}", data[at : at + n * size]))
 
 
+def movie_headers(data: bytes) -> Iterator[Row]:
+    """The time scale and duration of the first movie box; a file without one is an error."""
+    for box in boxes(data):
+        if box["type"] == "mvhd" and box["within"] == "/moov":
+            body = data[box["offset"] + box["header"] : box["offset"] + box["size"]]
+            scale, duration = struct.unpack_from(">IQ", body, 20) if body[0] else struct.unpack_from(">II", body, 12)
+            yield {"timescale": scale, "duration": duration}
+            return
+    raise ValueError("no movie box")
+
+
+MOVIES = "timescale long, duration long"
+
+
 def sample_tables(data: bytes) -> Iterator[Row]:
     """One row a track of the first movie box: header fields and its sample tables. Tracks that lack a required table are left out."""
     track: Row | None = None
@@ -170,6 +185,30 @@ def samples(tracks: DataFrame) -> DataFrame:
     return joined.join(sync, keys).select(*keys, "sample", "pts", "size", (F.col("chunk_offset") + F.col("within")).alias("offset"), key.alias("is_key_frame"))
 
 
+def packets(index: DataFrame, contents: DataFrame) -> DataFrame:
+    """The rows of ``samples`` with their bytes, from files (path, data). Each file meets its index once; a sample beyond the file's end is an error."""
+    columns = [c for c in index.columns if c != "path"]
+    listed = index.groupBy("path").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    joined = listed.join(contents.select("path", "data"), "path")
+    inside = lambda r: F.when(r["offset"] + r["size"] <= F.octet_length("data"), F.substring("data", r["offset"].cast("int") + 1, r["size"].cast("int"))).otherwise(F.raise_error(F.concat(F.lit("a sample beyond the end of "), F.col("path"))).cast("binary"))
+    cut = F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in columns], inside(r).alias("data")))
+    return joined.select("path", F.inline(cut))
+
+
+# Names of unit types.
+NAL_NAMES = {1: "slice", 2: "partition_a", 3: "partition_b", 4: "partition_c", 5: "idr_slice", 6: "sei", 7: "sps", 8: "pps", 9: "delimiter", 10: "end_of_sequence", 11: "end_of_stream", 12: "filler"}
+
+
+def nal_name(kind: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in NAL_NAMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, kind), F.concat(F.lit("unknown:"), kind.cast("string")))
+
+
+def is_coded_picture(kind: Column) -> Column:
+    """True for units that hold parts of pictures."""
+    return kind.between(1, 5)
+
+
 # --- elementary streams
 
 
@@ -214,10 +253,6 @@ def without_emulation(payload: bytes) -> bytes:
     return bytes(out)
 
 
-# Sampling frequencies by index.
-ADTS_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
-
-
 def adts_frames(data: bytes) -> Iterator[Row]:
     """Frames of an audio transport stream up to the first bad header."""
     at = number = 0
@@ -227,9 +262,9 @@ def adts_frames(data: bytes) -> Iterator[Row]:
             return
         rate, length = h[2] >> 2 & 15, (h[3] & 3) << 11 | h[4] << 3 | h[5] >> 5
         head = 7 if h[1] & 1 else 9
-        if rate >= len(ADTS_RATES) or length < head or at + length > len(data):
+        if rate >= len(SAMPLE_RATES) or length < head or at + length > len(data):
             return
-        yield {"number": number, "offset": at, "size": length, "profile": h[2] >> 6, "sample_rate": ADTS_RATES[rate], "channels": (h[2] & 1) << 2 | h[3] >> 6, "payload": data[at + head : at + length]}
+        yield {"number": number, "offset": at, "size": length, "profile": h[2] >> 6, "sample_rate": SAMPLE_RATES[rate], "channels": (h[2] & 1) << 2 | h[3] >> 6, "payload": data[at + head : at + length]}
         at, number = at + length, number + 1
 
 
@@ -334,3 +369,15 @@ def ply_points(lines: DataFrame) -> DataFrame:
     f = F.split(F.trim("value"), r"\s+")
     xyz = [F.get(f, k).try_cast("double").alias(c) for k, c in enumerate("xyz")]
     return lines.select(*xyz).dropna()
+
+
+def edge_cases(spark: SparkSession) -> DataFrame:
+    """Byte patterns (path, data) that every walk must take without failing."""
+    cases = {"empty": b"", "zero": b"\0", "ff": b"\xff", "zeros": b"\0" * 64, "ffs": b"\xff" * 64, "one": b"\1", "alternating": b"\0\xff" * 32}
+    return spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "path string, data binary")
+
+
+def synthetic_clip(spark: SparkSession, width: int, height: int, frames: int) -> DataFrame:
+    """Luma samples (t, y, x, v) of a moving pattern: (x + 5t) xor (y + 3t), cut to a byte."""
+    place = spark.range(frames * height * width).select(F.floor(F.col("id") / (height * width)).alias("t"), (F.floor(F.col("id") / width) % height).alias("y"), (F.col("id") % width).alias("x"))
+    return place.withColumn("v", (F.col("x") + F.col("t") * 5).bitwiseXOR(F.col("y") + F.col("t") * 3).bitwiseAND(255))

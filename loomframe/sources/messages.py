@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.functions import layout as L
+from loomframe.operators import timeline as T
+
 # Names of FLV codes.
 FRAME_TYPES = {1: "key", 2: "inter", 3: "disposable", 4: "generated", 5: "info"}
 VIDEO_CODECS = {2: "h263", 3: "screen", 4: "vp6", 5: "vp6a", 6: "screen2", 7: "avc"}
 AVC_PACKETS = {0: "sequence_header", 1: "nalu", 2: "end"}
 AUDIO_FORMATS = {0: "pcm", 1: "adpcm", 2: "mp3", 10: "aac", 11: "speex"}
 AUDIO_RATES = (5500, 11025, 22050, 44100)
+# Sampling frequencies by index.
+SAMPLE_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
 
 
 def byte_at(data: Column | str, k: int) -> Column:
@@ -131,6 +137,36 @@ def amf_first(value: object, name: str) -> object:
     return None
 
 
+def amf_json(value: object) -> object:
+    """The value as JSON holds it: objects keep the first value of a name."""
+    if isinstance(value, tuple):
+        out: dict[str, object] = {}
+        for name, item in value[1]:
+            out.setdefault(name, amf_json(item))
+        return out
+    return [amf_json(x) for x in value] if isinstance(value, list) else value
+
+
+def amf_walk(data: bytes) -> Iterator[dict[str, object]]:
+    """One row a value, for ``containers.walked``."""
+    for number, value in enumerate(amf_values(data)):
+        yield {"number": number, "json": json.dumps(amf_json(value), ensure_ascii=False)}
+
+
+AMF = "number int, json string"
+# Names of ingest commands and what they mean.
+COMMANDS = {"connect": "connect", "createStream": "create", "publish": "publish_start", "deleteStream": "publish_stop", "FCUnpublish": "publish_stop", "closeStream": "publish_stop", "releaseStream": "acknowledge", "FCPublish": "acknowledge", "_checkbw": "acknowledge"}
+
+
+def commands(values: DataFrame) -> DataFrame:
+    """(path, command, transaction, event, stream_key) of each message's values: the name, its number, what it means, and the key of a publish."""
+    at = lambda k, kind: F.max(F.when(F.col("number") == k, F.try_variant_get(F.try_parse_json("json"), "$", kind)))
+    named = values.groupBy("path").agg(at(0, "string").alias("command"), F.coalesce(at(1, "double"), F.lit(0.0)).alias("transaction"), at(3, "string").alias("stream_key"))
+    table = F.create_map(*[F.lit(x) for pair in COMMANDS.items() for x in pair])
+    event = F.coalesce(F.try_element_at(table, F.col("command")), F.lit("unhandled"))
+    return named.select("path", "command", "transaction", event.alias("event"), F.when(F.col("command") == "publish", F.coalesce("stream_key", F.lit(""))).alias("stream_key"))
+
+
 # --- chunk streams
 
 
@@ -165,18 +201,33 @@ def chunk_headers(data: bytes, chunk_size: int = 128) -> Iterator[dict[str, obje
                 stamp, at = int.from_bytes(data[at : at + 4], "big"), at + 4
             ts = stamp if kind == 0 else ts + stamp
         remaining = left.get(stream) or length
+        starts = not left.get(stream)
         n = min(remaining, chunk_size)
         if at + n > len(data):
             return
         payload = data[at : at + n]
         last[stream], left[stream], at = [ts, length, kind_of], remaining - n, at + n
-        yield {"chunk_stream": stream, "seq": seq, "message_length": length, "message_type": kind_of, "ts": ts, "payload": payload}
+        yield {"chunk_stream": stream, "seq": seq, "message_length": length, "message_type": kind_of, "ts": ts, "starts": starts, "payload": payload}
         seq += 1
         if kind_of == 1 and not left[stream] and n >= 4:
             chunk_size = max(1, int.from_bytes(payload[:4], "big") & 0x7FFFFFFF)
 
 
-CHUNKS = "chunk_stream long, seq long, message_length long, message_type long, ts long, payload binary"
+CHUNKS = "chunk_stream long, seq long, message_length long, message_type long, ts long, starts boolean, payload binary"
+
+
+def messages_of(chunks: DataFrame) -> DataFrame:
+    """Whole messages (path, chunk_stream, message, message_type, ts, payload) of a file's chunks: those with all their bytes.
+
+    The batch form of ``streaming.live.assembled``: a message has its last chunk's type and time.
+    """
+    keys = ["path", "chunk_stream"]
+    cut = T.segments(chunks, keys, ["seq"], F.col("starts")).withColumn("message", F.col("segment") - 1)
+    parts = F.array_sort(F.collect_list(F.struct("seq", "message_type", "ts", "payload")))
+    whole = cut.groupBy(*keys, "message").agg(parts.alias("parts"), F.max("message_length").alias("message_length"))
+    joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["payload"])), ""))
+    whole = whole.withColumn("payload", joined).withColumn("last", F.element_at("parts", -1))
+    return whole.filter(F.octet_length("payload") >= F.col("message_length")).select(*keys, "message", "last.message_type", "last.ts", "payload")
 
 
 # --- checksums and transport packets
@@ -215,14 +266,14 @@ def mixed_crc64(data: bytes) -> int:
     return r ^ 0xFFFFFFFFFFFFFFFF
 
 
-def transport_packets(payload: bytes, pid: int, counter: int = 0, clock: int | None = None) -> Iterator[bytes]:
+def transport_packets(payload: bytes, pid: int, counter: int = 0, clock: int | None = None, key: bool = False) -> Iterator[bytes]:
     """188-byte packets of one unit: the first has the start flag and, with ``clock``, its 90 kHz time; the last is stuffed."""
     at, first = 0, True
     while at < len(payload) or first:
         field = b""
         if first and clock is not None:
             base = clock & (1 << 33) - 1
-            field = bytes([0x10]) + struct.pack(">I", base >> 1) + bytes([(base & 1) << 7 | 0x7E, 0])
+            field = bytes([0x50 if key else 0x10]) + struct.pack(">I", base >> 1) + bytes([(base & 1) << 7 | 0x7E, 0])
         room = 184 - (len(field) + 1 if field else 0)
         rest = payload[at : at + room]
         short = room - len(rest)
@@ -236,6 +287,46 @@ def transport_packets(payload: bytes, pid: int, counter: int = 0, clock: int | N
         counter, at, first = counter + 1, at + len(rest), False
 
 
+# The identifiers of a transport stream's tables and of its video.
+TABLES_PID, MAP_PID, VIDEO_PID = 0, 0x1000, 0x100
+
+
+def table_packet(pid: int, table: int, body: bytes) -> bytes:
+    """A program table as one packet: pointer, header, version 0, check, and stuffing."""
+    section = struct.pack(">BHHBBB", table, 0xB000 | len(body) + 9, 1, 0xC1, 0, 0) + body
+    section += struct.pack(">I", mpeg_crc32(section))
+    return struct.pack(">BHBB", 0x47, 0x4000 | pid, 0x10, 0) + section + b"\xff" * (183 - len(section))
+
+
+def elementary_packet(payload: bytes, clock: int) -> bytes:
+    """A video unit behind its header with a time of 33 bits; the length is 0 where 16 bits can't hold it."""
+    clock &= (1 << 33) - 1
+    stamp = bytes([0x21 | clock >> 29 & 14, clock >> 22 & 255, clock >> 14 & 255 | 1, clock >> 7 & 255, clock << 1 & 255 | 1])
+    size = len(payload) + 8
+    return b"\0\0\1\xe0" + struct.pack(">H", size if size < 1 << 16 else 0) + b"\x80\x80\x05" + stamp + payload
+
+
+def transport_stream(units: Iterator[tuple[bytes, int, bool]]) -> Iterator[bytes]:
+    """Packets of a segment of (payload, 90 kHz time, is_key): its two tables, then each unit."""
+    yield table_packet(TABLES_PID, 0, struct.pack(">HH", 1, 0xE000 | MAP_PID))
+    yield table_packet(MAP_PID, 2, struct.pack(">HHBHH", 0xE000 | VIDEO_PID, 0xF000, 0x1B, 0xE000 | VIDEO_PID, 0xF000))
+    counter = 0
+    for payload, clock, key in units:
+        for packet in transport_packets(elementary_packet(payload, clock), VIDEO_PID, counter, clock, key):
+            yield packet
+            counter += 1
+
+
+def transport_headers(df: DataFrame, data: str = "data") -> DataFrame:
+    """Packets of transport streams (path, data): path, number, pid, start, counter, payload. A wrong sync byte is an error."""
+    n = F.floor(F.octet_length(data) / 188).cast("int")
+    packets = df.select("path", data, F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("number")).select("path", "number", F.substring(data, F.col("number") * 188 + 1, F.lit(188)).alias("packet"))
+    synced = F.when(byte_at("packet", 0) == 0x47, byte_at("packet", 1)).otherwise(F.raise_error(F.concat(F.lit("no sync byte in "), F.col("path"))).cast("int"))
+    second, fourth = F.col("second"), byte_at("packet", 3)
+    body = F.when(fourth.bitwiseAND(32) == 0, 4).otherwise(5 + byte_at("packet", 4))
+    return packets.withColumn("second", synced).select("path", "number", (second.bitwiseAND(31) * 256 + byte_at("packet", 2)).alias("pid"), (second.bitwiseAND(64) > 0).alias("start"), fourth.bitwiseAND(15).alias("counter"), F.substring("packet", body + 1, F.lit(188)).alias("payload"))
+
+
 class BitReader:
     """Bits from the highest down, with the unsigned and signed exponential codes of parameter sets."""
 
@@ -262,25 +353,26 @@ class BitReader:
 
 
 def picture_size(sps: bytes) -> dict[str, int] | None:
-    """profile, level, width and height of a sequence parameter set without its emulation bytes; None if it isn't sound or uses scaling lists."""
+    """What pictures need of a sequence parameter set without its emulation bytes: profile, level, ids, sizes of numbers, width and height; None if it isn't sound."""
     try:
         r = BitReader(sps[1:])
         profile, _, level = r.bits(8), r.bits(8), r.bits(8)
-        r.ue()
-        chroma = 1
+        sps_id = r.ue()
+        chroma, planes, lists = 1, 0, 0
         if profile in (44, 83, 86, 100, 110, 118, 122, 128, 138, 139, 244):
             chroma = r.ue()
             if chroma == 3:
-                r.bits(1)
+                planes = r.bits(1)
             r.ue(), r.ue(), r.bits(1)
             if r.bits(1):
-                return None
-        r.ue()
-        order = r.ue()
+                lists = sum(scaling_list(r, 16 if k < 6 else 64) is not None for k in range(8 if chroma != 3 else 12))
+        log2_frame = r.ue() + 4
+        order, log2_order, delta_always_zero = r.ue(), 0, 0
         if order == 0:
-            r.ue()
+            log2_order = r.ue() + 4
         elif order == 1:
-            r.bits(1), r.se(), r.se()
+            delta_always_zero = r.bits(1)
+            r.se(), r.se()
             for _ in range(r.ue()):
                 r.se()
         refs = r.ue()
@@ -292,6 +384,192 @@ def picture_size(sps: bytes) -> dict[str, int] | None:
         r.bits(1)
         crop = [r.ue() for _ in range(4)] if r.bits(1) else [0, 0, 0, 0]
         unit_x, unit_y = (2 if chroma in (1, 2) else 1), (2 if chroma == 1 else 1) * (2 - frames_only)
-        return {"profile": profile, "level": level, "refs": refs, "width": 16 * wide - unit_x * (crop[0] + crop[1]), "height": 16 * high * (2 - frames_only) - unit_y * (crop[2] + crop[3])}
+        return {"sps_id": sps_id, "profile": profile, "level": level, "refs": refs, "separate_planes": planes, "scaling_lists": lists, "log2_frame_num": log2_frame, "order_type": order, "log2_order": log2_order, "delta_always_zero": delta_always_zero, "frames_only": frames_only, "width": 16 * wide - unit_x * (crop[0] + crop[1]), "height": 16 * high * (2 - frames_only) - unit_y * (crop[2] + crop[3])}
     except (EOFError, ValueError):
         return None
+
+
+SPS = "sps_id int, profile int, level int, refs int, separate_planes int, scaling_lists int, log2_frame_num int, order_type int, log2_order int, delta_always_zero int, frames_only int, width int, height int"
+
+
+def scaling_list(r: BitReader, size: int) -> list[int] | None:
+    """A list of scales as steps from one to the next; None if the list isn't sent. A scale of 0 repeats the last one to the end."""
+    if not r.bits(1):
+        return None
+    out, following = [], 8
+    for _ in range(size):
+        if following:
+            following = (out[-1] if out else 8) + r.se() & 255
+        out.append(following or (out[-1] if out else 8))
+    return out
+
+
+def picture_parameters(pps: bytes) -> dict[str, int] | None:
+    """What slices need of a picture parameter set without its emulation bytes; None if it isn't sound or has slice groups."""
+    try:
+        r = BitReader(pps[1:])
+        out = {"pps_id": r.ue(), "sps_id": r.ue(), "cabac": r.bits(1), "order_present": r.bits(1)}
+        if r.ue():
+            return None
+        out |= {"refs_l0": r.ue() + 1, "refs_l1": r.ue() + 1, "weighted": r.bits(1), "weighted_bi": r.bits(2), "qp": 26 + r.se(), "qs": 26 + r.se(), "chroma_qp_offset": r.se()}
+        return out | {"deblocking_control": r.bits(1), "constrained_intra": r.bits(1), "redundant": r.bits(1)}
+    except (EOFError, ValueError):
+        return None
+
+
+PPS = "pps_id int, sps_id int, cabac int, order_present int, refs_l0 int, refs_l1 int, weighted int, weighted_bi int, qp int, qs int, chroma_qp_offset int, deblocking_control int, constrained_intra int, redundant int"
+#: Slice types by number, modulo five.
+SLICES = "PBI" + "pi"
+
+
+def slice_header(nal: bytes, sps: dict[str, int], pps: dict[str, int]) -> dict[str, object] | None:
+    """A slice's header up to its reference marking, by its parameter sets; None if it isn't sound or has a table of weights.
+
+    ``modifications`` and ``marking`` are lists of (operation, number, second number), as ``operators.references`` takes
+    them; marking is None for a sliding window.
+    """
+    try:
+        r = BitReader(nal[1:])
+        kind, ref = nal[0] & 31, nal[0] >> 5 & 3
+        first, of = r.ue(), SLICES[r.ue() % 5]
+        out: dict[str, object] = {"first_mb": first, "slice_type": of, "pps_id": r.ue()}
+        if sps["separate_planes"]:
+            r.bits(2)
+        out["frame_num"] = r.bits(sps["log2_frame_num"])
+        field = 0 if sps["frames_only"] else r.bits(1)
+        out |= {"field": field, "bottom": r.bits(1) if field else 0, "idr_id": r.ue() if kind == 5 else None, "order": None}
+        if sps["order_type"] == 0:
+            out["order"] = r.bits(sps["log2_order"])
+            if pps["order_present"] and not field:
+                r.se()
+        elif sps["order_type"] == 1 and not sps["delta_always_zero"]:
+            r.se()
+            if pps["order_present"] and not field:
+                r.se()
+        if pps["redundant"]:
+            r.ue()
+        if of == "B":
+            r.bits(1)
+        l0, l1 = pps["refs_l0"], pps["refs_l1"]
+        if of in "PBp" and r.bits(1):
+            l0, l1 = r.ue() + 1, r.ue() + 1 if of == "B" else l1
+        out |= {"refs_l0": l0 if of in "PBp" else 0, "refs_l1": l1 if of == "B" else 0}
+        lists: list[list[tuple[int, int, int]]] = [[], []]
+        for k in range({"P": 1, "p": 1, "B": 2}.get(of, 0)):
+            while lists[k] == [] and r.bits(1) or lists[k]:
+                op = r.ue()
+                if op == 3:
+                    break
+                if op > 3 or len(lists[k]) > 66:
+                    return None
+                lists[k].append((op, r.ue(), 0))
+        out["modifications"] = lists[0]
+        if pps["weighted"] and of in "Pp" or pps["weighted_bi"] == 1 and of == "B":
+            return None
+        out["marking"] = None
+        if ref and kind == 5:
+            out["marking"] = [(7, r.bits(1), r.bits(1))]
+        elif ref and r.bits(1):
+            ops: list[tuple[int, int, int]] = []
+            while op := r.ue():
+                if op > 6 or len(ops) > 66:
+                    return None
+                ops.append((op, r.ue() if op in (1, 2, 3, 4, 6) else 0, r.ue() if op == 3 else 0))
+            out["marking"] = ops
+        return out
+    except (EOFError, ValueError, IndexError):
+        return None
+
+
+SLICE = "first_mb int, slice_type string, pps_id int, frame_num int, field int, bottom int, idr_id int, order int, refs_l0 int, refs_l1 int, modifications array<struct<op:int,n:int,m:int>>, marking array<struct<op:int,n:int,m:int>>"
+
+
+def slice_walk(nal: bytes, sps: dict[str, int], pps: dict[str, int]) -> Iterator[dict[str, object]]:
+    """The header as a row of ``SLICE``, for ``containers.walked``."""
+    found = slice_header(nal, sps, pps) if nal else None
+    if found is not None:
+        steps = lambda rows: None if rows is None else [dict(zip(("op", "n", "m"), x)) for x in rows]
+        yield found | {"modifications": steps(found["modifications"]), "marking": steps(found["marking"])}
+
+
+def sequence_header(payload: bytes) -> dict[str, int] | None:
+    """Profile, level, largest size, bit depth and subsampling of a sequence header unit's payload; None if it isn't sound."""
+    try:
+        r = BitReader(payload)
+        flag = lambda: r.bits(1)
+        profile, still, reduced = r.bits(3), flag(), flag()
+        level = tier = delays = 0
+        if reduced:
+            level = r.bits(5)
+        else:
+            model = 0
+            if flag():
+                r.bits(32), r.bits(32)
+                if flag():
+                    r.ue()
+                model = flag()
+                if model:
+                    delays = r.bits(5) + 1
+                    r.bits(32), r.bits(5), r.bits(5)
+            display = flag()
+            for k in range(r.bits(5) + 1):
+                r.bits(12)
+                this = r.bits(5)
+                this_tier = flag() if this > 7 else 0
+                if k == 0:
+                    level, tier = this, this_tier
+                if model and flag():
+                    r.bits(delays), r.bits(delays), flag()
+                if display and flag():
+                    r.bits(4)
+        wide, high = r.bits(4) + 1, r.bits(4) + 1
+        width, height = r.bits(wide) + 1, r.bits(high) + 1
+        if not reduced and flag():
+            r.bits(4), r.bits(3)
+        large = flag()
+        flag(), flag()
+        hints = 0
+        if not reduced:
+            r.bits(4)
+            ordered = flag()
+            if ordered:
+                r.bits(2)
+            screen = 2 if flag() else flag()
+            if screen and not flag():
+                flag()
+            hints = r.bits(3) + 1 if ordered else 0
+        r.bits(3)
+        deep = flag()
+        depth = (12 if flag() else 10) if profile == 2 and deep else 10 if deep else 8
+        mono = flag() if profile != 1 else 0
+        space = r.bits(24) if flag() else 0x020202
+        if mono:
+            flag()
+            across = down = 1
+        elif space == 0x010D00:
+            across = down = 0
+        else:
+            flag()
+            across, down = {0: (1, 1), 1: (0, 0)}.get(profile, (1, 0))
+            if profile == 2 and depth == 12:
+                across = flag()
+                down = flag() if across else 0
+        return {"profile": profile, "still": still, "level": level, "tier": tier, "width": width, "height": height, "large_blocks": large, "order_hint_bits": hints, "bit_depth": depth, "mono": mono, "across": across, "down": down}
+    except (EOFError, ValueError):
+        return None
+
+
+SEQUENCE = "profile int, still int, level int, tier int, width int, height int, large_blocks int, order_hint_bits int, bit_depth int, mono int, across int, down int"
+
+
+def audio_config(data: Column | str) -> Column:
+    """object_type, sample_rate and channels of an audio configuration; null where it is cut short or its rate has no meaning."""
+    column = F.col(data) if isinstance(data, str) else data
+    bits = L.bits_of(column, 7)
+    long_type = L.field(bits, 0, 5) == 31
+    at = F.when(long_type, 11).otherwise(5)
+    kind = F.when(long_type, 32 + L.field(bits, 5, 6)).otherwise(L.field(bits, 0, 5))
+    index = L.field(bits, at, 4)
+    rate = F.when(index == 15, L.field(bits, at + 4, 24)).otherwise(F.get(F.array(*map(F.lit, SAMPLE_RATES)), index.cast("int")))
+    channels = L.field(bits, at + F.when(index == 15, 28).otherwise(4), 4)
+    return F.when(kind.isNotNull() & rate.isNotNull() & channels.isNotNull(), F.struct(kind.cast("int").alias("object_type"), rate.cast("int").alias("sample_rate"), channels.cast("int").alias("channels")))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.sources import messages
+
 
 def playlist_text(segments: DataFrame, target: int) -> DataFrame:
     """(stream, m3u8) from rows (stream, media_sequence, index, duration, path); the lines follow the index."""
@@ -22,6 +24,12 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select(F.to_json(F.struct(F.lit("node").alias("row"), *nodes.columns)).alias("value")).unionByName(edges.select(F.to_json(F.struct(F.lit("edge").alias("row"), *edges.columns)).alias("value")))
 
 
+def graph_from_json(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, name) and edges (src, dst) of the lines (value) that ``graph_json`` gives."""
+    row = lines.select(F.from_json("value", "row string, id long, name string, src long, dst long").alias("r"))
+    return row.filter("r.row = 'node'").select("r.id", "r.name"), row.filter("r.row = 'edge'").select("r.src", "r.dst")
+
+
 def ply_lines(points: DataFrame) -> DataFrame:
     """An ASCII point file's lines (part, value): part 0 is the header, part 1 the points, in no set order."""
     head = points.agg(F.concat(F.lit("ply\nformat ascii 1.0\nelement vertex "), F.count("*").cast("string"), F.lit("\nproperty float x\nproperty float y\nproperty float z\nend_header")).alias("value"))
@@ -72,3 +80,44 @@ def muxed(samples: DataFrame, width: int, height: int, timescale: int) -> DataFr
         return pd.DataFrame({"stream": [group["stream"].iloc[0]], "file": [mp4_bytes(rows, width, height, timescale)]})
 
     return samples.groupBy("stream").applyInPandas(mux, "stream long, file binary")
+
+
+def transport_segments(units: DataFrame) -> DataFrame:
+    """(segment, file) from rows (segment, seq, data, clock, is_key): a transport stream a segment, its units in order."""
+
+    def mux(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("seq")
+        rows = zip(group["data"], group["clock"].astype(int), group["is_key"].astype(bool))
+        return pd.DataFrame({"segment": [group["segment"].iloc[0]], "file": [b"".join(messages.transport_stream(rows))]})
+
+    return units.groupBy("segment").applyInPandas(mux, "segment string, file binary")
+
+
+def write_segments(segments: DataFrame, folder: str, name: str = "playlist.m3u8", keep: int | None = None, target: int = 6) -> None:
+    """Segment files (index, duration, file) into a folder, and a playlist of the last ``keep`` that takes the old one's place at once.
+
+    Tasks write the files, each under a name of its own attempt that is then renamed; of the files only their names
+    come back. Use it on a batch, or for each batch of a stream by ``foreachBatch``.
+    """
+    from pyarrow import fs
+    from pyspark import TaskContext
+
+    def put(path: str, data: bytes, attempt: str) -> None:
+        where, at = fs.FileSystem.from_uri(path)
+        where.create_dir(at.rpartition("/")[0], recursive=True)
+        with where.open_output_stream(f"{at}.{attempt}.tmp") as out:
+            out.write(data)
+        where.move(f"{at}.{attempt}.tmp", at)
+
+    def write(frames):
+        for frame in frames:
+            for index, file in zip(frame["index"], frame["file"]):
+                put(f"{folder}/segment{index:05d}.ts", bytes(file), str(TaskContext.get().taskAttemptId()))
+            yield frame[["index", "duration"]]
+
+    rows = sorted((r["index"], r["duration"]) for r in segments.select("index", "duration", "file").mapInPandas(write, "index long, duration double").collect())
+    gone = max(0, len(rows) - keep) if keep else 0
+    if rows:
+        spark = segments.sparkSession
+        listed = spark.createDataFrame([(0, rows[gone][0], i, d, f"segment{i:05d}.ts") for i, d in rows[gone:]], "stream long, media_sequence long, index long, duration double, path string")
+        put(f"{folder}/{name}", playlist_text(listed, target).first()["m3u8"].encode(), "playlist")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,3 +77,60 @@ def field_pairs(fields: DataFrame) -> DataFrame:
 def segment_counts(packets: DataFrame, width: str, late: str) -> DataFrame:
     """Packets and key packets of each stream in windows of event time, with late data up to ``late``: an extension, the batch form has no event time."""
     return packets.withWatermark("ts", late).groupBy(F.window("ts", width), "stream").agg(F.count("*").alias("n_packets"), F.count_if("is_key").alias("n_keys"))
+
+
+def _frames(buffer: bytes) -> tuple[list[bytes], bytes]:
+    """Whole frames behind lengths of four bytes, highest first, and what is left."""
+    out = []
+    while len(buffer) >= 4 and len(buffer) >= 4 + (n := int.from_bytes(buffer[:4], "big")):
+        out.append(buffer[4 : 4 + n])
+        buffer = buffer[4 + n :]
+    return out, buffer
+
+
+FRAMES = "conn long, frame long, seq long, payload binary"
+
+
+def framed(reads: DataFrame) -> DataFrame:
+    """Frames (conn, frame, seq, payload) of reads (conn, seq, payload) that cut them anywhere; seq is that of the read that ends one.
+
+    What a read leaves over waits for the next one of its connection. Works on tables and on streams, whose batches
+    must come in order.
+    """
+
+    def take(key: tuple, rows: pd.DataFrame, buffer: bytes, number: int) -> tuple[pd.DataFrame, bytes, int]:
+        out = []
+        for seq, payload in rows.sort_values("seq")[["seq", "payload"]].itertuples(index=False):
+            whole, buffer = _frames(buffer + bytes(payload))
+            for frame in whole:
+                out.append((key[0], number, seq, frame))
+                number += 1
+        return pd.DataFrame(out, columns=["conn", "frame", "seq", "payload"]), buffer, number
+
+    def batch(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return take(key, rows, b"", 0)[0]
+
+    def push(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        buffer, number = (bytes(state.get[0]), state.get[1]) if state.exists else (b"", 0)
+        out, buffer, number = take(key, pd.concat(list(frames)), buffer, number)
+        state.update((buffer, number))
+        yield out
+
+    grouped = reads.groupBy("conn")
+    if not reads.isStreaming:
+        return grouped.applyInPandas(batch, FRAMES)
+    return grouped.applyInPandasWithState(push, FRAMES, "buffer binary, number long", "append", GroupStateTimeout.NoTimeout)
+
+
+def handled(events: DataFrame, kind: str, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str):
+    """A running query that gives each batch's rows of a kind to that kind's handler; kinds without one pass unseen."""
+
+    def dispatch(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        try:
+            for name, handler in handlers.items():
+                handler(kept.filter(F.col(kind) == name), number)
+        finally:
+            kept.unpersist()
+
+    return events.writeStream.foreachBatch(dispatch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
