@@ -12,10 +12,11 @@
    first n - ceil(t n) + 1 shingles for groups that hold one of them among the first
    m - ceil(2 t m / (1 + t)) + 1 of a member: these (shingle, group) rows are the
    sparse form of the token-group matrix.
-4. Each group that is asked for is stored as the union of its members' shingles and
-   each member's places in it. A query's overlap with the union bounds its overlap
-   with every member; only where the bound reaches the least overlap that any member
-   needs is the group opened and its members compared, all at once.
+4. The union of each group that is asked for is stored as a bit row, and a query's bit
+   row bounds the overlap with it, and so with every member. Groups whose bound
+   reaches the least overlap that any member needs are stored whole, as the union of
+   shingles and each member's places in it. The exact overlap with the union bounds
+   once more; then the group is opened and its members are compared, all at once.
 
 Queries don't ask groups of documents that are all linked with them already, so
 groups of copies never come as pairs, and no step holds more than a group of bounded
@@ -61,20 +62,24 @@ def least_hashes(values: np.ndarray) -> np.ndarray:
     return values[at]
 
 
-def parities(values: np.ndarray) -> bytes:
-    """A bit row of at least two bits a shingle, to a power of two: each shingle turns one bit over."""
-    width = 1 << min(19, max(8, int(2 * len(values) - 1).bit_length()))
-    counts = np.bincount((values >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width)
-    return np.packbits(counts & 1).tobytes()
+def sketch(values: np.ndarray) -> bytes:
+    """A bit row of at least four bits a shingle, to a power of two: the bits of the set's shingles are set."""
+    width = 1 << min(20, max(8, int(4 * len(values) - 1).bit_length()))
+    bits = np.zeros(width, bool)
+    bits[(values >> np.uint64(20)).astype(np.int64) & (width - 1)] = True
+    return np.packbits(bits).tobytes()
 
 
-def least_distance(a: np.ndarray, b: np.ndarray) -> int:
-    """A lower bound of the elements in one set only: bits in which the rows differ, the longer one folded to the shorter."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) > len(a):
-        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
-    return int(np.bitwise_count(a ^ b).sum())
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bit row in ``size`` bytes."""
+    return bits if len(bits) == size else np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+
+def most_overlap(n: int, query: np.ndarray, union: np.ndarray) -> int:
+    """An upper bound of the shingles that a set of n has in a union, by their bit rows: shingles that share a bit may all be in it."""
+    size = min(len(query), len(union))
+    query = folded(query, size)
+    return int(np.bitwise_count(query & folded(union, size)).sum()) + n - int(np.bitwise_count(query).sum())
 
 
 def shingle_sets(column: pa.Array, words: int = 5) -> Iterator[tuple[int, np.ndarray]]:
@@ -167,7 +172,7 @@ def _signatures(words: int):
                 least = least_hashes(values)
                 joined = mixed((least.reshape(BANDS, ROWS) * _PLACES[10 : 10 + ROWS]).sum(axis=1, dtype=np.uint64) + _PLACES[20 : 20 + BANDS])
                 bands[row] = joined.view(np.int64).tolist()
-                bits[row] = parities(values)
+                bits[row] = sketch(values)
                 if key not in seen:
                     seen.add(key)
                     for k in range(0, len(values), COUNTED):
@@ -354,7 +359,7 @@ class Group:
         at[at == self.n_union] = 0
         at = at[self.union[at] == values]
         n = len(values)
-        if len(at) < max(needed(n, percent), -(-percent * (n + self.low) // (100 + percent))):
+        if len(at) < least_overlap(n, self.low, percent):
             return None
         self.open()
         hit = np.zeros(self.n_union, bool)
@@ -385,41 +390,80 @@ def _opened(percent: int):
     return run
 
 
-def _near_enough(percent: int):
-    """Rows (id, n, bits, leader, leader_n, leader_bits): those whose bit rows leave it open that the two sets are similar."""
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams (block, n, bits) sorted by block; gives each group's least size and the bit row of its union."""
+    block, low, bits = None, 0, np.empty(0, np.uint8)
+    for batch in batches:
+        out, rows = [], batch.column("bits")
+        for k, (key, n) in enumerate(zip(batch.column("block").to_pylist(), batch.column("n").to_pylist())):
+            row = np.frombuffer(rows[k].as_buffer(), np.uint8)
+            if key == block:
+                size = min(len(row), len(bits))
+                low, bits = min(low, n), folded(bits, size) | folded(row, size)
+                continue
+            if block is not None:
+                out.append({"block": block, "low": low, "bits": bits.tobytes()})
+            block, low, bits = key, n, row.copy()
+        yield pa.RecordBatch.from_pylist(out, schema=_UNION)
+    if block is not None:
+        yield pa.RecordBatch.from_pylist([{"block": block, "low": low, "bits": bits.tobytes()}], schema=_UNION)
+    given_back()
+
+
+_UNION = pa.schema([("block", pa.int64()), ("low", pa.int64()), ("bits", pa.binary())])
+
+
+def least_overlap(n: int, low: int, percent: int) -> int:
+    """What a set of n needs in common with any similar one of ``low`` or more."""
+    return max(needed(n, percent), -(-percent * (n + low) // (100 + percent)))
+
+
+def _qualified(percent: int):
+    """Streams (block, part, role, id, n, bits): a group's union, then its queries; gives those whose bound leaves the group open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, union = 0, np.empty(0, np.uint8)
         for batch in batches:
-            mine, theirs = batch.column("bits"), batch.column("leader_bits")
-            n, m = batch.column("n").to_numpy(), batch.column("leader_n").to_numpy()
-            # J = o / (n + m - o) >= t means n + m - 2 o <= (n + m)(1 - t) / (1 + t)
-            far = np.array([least_distance(np.frombuffer(mine[k].as_buffer(), np.uint8), np.frombuffer(theirs[k].as_buffer(), np.uint8)) for k in range(batch.num_rows)], np.int64)
-            near = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * far <= (100 - percent) * (n + m))
-            yield pa.record_batch([batch.column("leader").filter(pa.array(near)), batch.column("id").filter(pa.array(near))], ["block", "id"])
+            blocks, ids, bits = [], [], batch.column("bits")
+            for k, (block, role, doc, n) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("block", "role", "id", "n")])):
+                row = np.frombuffer(bits[k].as_buffer(), np.uint8)
+                if role == 0:
+                    low, union = n, row.copy()
+                elif most_overlap(n, row, union) >= least_overlap(n, low, percent):
+                    blocks.append(block)
+                    ids.append(doc)
+            yield pa.record_batch({"block": pa.array(blocks, pa.int64()), "id": pa.array(ids, pa.int64())})
+        given_back()
 
     return run
 
 
-def _links(queries: DataFrame, members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) of queries (block, id) to members (block, id), written. A group with many queries is sent to several tasks."""
-    spark = queries.sparkSession
-    n = partitions(spark)
-    parts = written(queries.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), "ngram-parts")
-    asked = written(members.join(parts, "block", "left_semi"), "ngram-asked")
-    needed_ids = written(queries.select("id").unionByName(asked.select("id")).distinct(), "ngram-needed")
-    near = rows_with(texts, needed_ids, "id", exact=False)
-    sets = near.mapInArrow(_sets(words), "id long, key long, n long, shingles binary").dropDuplicates(["id", "n", "key"])
-    sets = written(sets.join(needed_ids, "id", "left_semi").select("id", "shingles"), "ngram-sets")
-    of_block = asked.join(sets, "id").select("block", "id", "shingles").repartition(n, "block").sortWithinPartitions("block", "id")
-    groups = written(of_block.mapInArrow(_stored, _GROUP), "ngram-groups")
-    none = F.lit(None)
-    offered = groups.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), none.cast("long").alias("id"), "low", "n_union", "n_members", "bytes")
-    asking = queries.join(parts, "block").select("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
-    asking = asking.join(sets, "id").select("block", "part", F.lit(1).alias("role"), "id", none.cast("long").alias("low"), none.cast("long").alias("n_union"), none.cast("int").alias("n_members"), F.col("shingles").alias("bytes"))
-    work = offered.unionByName(asking).repartition(n, "block", "part").sortWithinPartitions("block", "part", "role")
-    links = written(work.mapInArrow(_opened(percent), "a long, b long"), "ngram-links")
-    dropped(parts, asked, needed_ids, sets, groups)
-    released(spark)
+def _met(offered: DataFrame, asking: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows of groups (role 0) and of their queries (role 1), by group. A group with many queries is sent to several tasks."""
+    parts = queries.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    offered = offered.join(parts, "block").withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "role": F.lit(0)}).drop("parts")
+    asking = asking.join(parts, "block").withColumns({"part": F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), "role": F.lit(1)}).drop("parts")
+    rows = offered.unionByName(asking, allowMissingColumns=True)
+    return rows.repartition(partitions(queries.sparkSession), "block", "part").sortWithinPartitions("block", "part", "role")
+
+
+def _links(queries: DataFrame, members: DataFrame, bits: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of queries (block, id) to members (block, id), written: unions bound the queries first, then groups are opened."""
+    n = partitions(queries.sparkSession)
+    by_block = lambda df: df.repartition(n, "block").sortWithinPartitions("block")
+    asked = written(members.join(queries.select("block").distinct(), "block", "left_semi"), "ngram-asked")
+    unions = written(by_block(asked.join(bits, "id").select("block", "n", "bits")).mapInArrow(_united, "block long, low long, bits binary"), "ngram-unions")
+    met = _met(unions.withColumnRenamed("low", "n"), queries.join(bits, "id").select("block", "id", "n", "bits"), queries)
+    close = written(met.mapInArrow(_qualified(percent), "block long, id long"), "ngram-close")
+    opened = written(asked.join(close.select("block").distinct(), "block", "left_semi"), "ngram-opened")
+    needed_ids = written(close.select("id").unionByName(opened.select("id")).distinct(), "ngram-needed")
+    sets = rows_with(texts, needed_ids, "id", exact=False).mapInArrow(_sets(words), "id long, key long, n long, shingles binary")
+    sets = written(sets.join(needed_ids, "id", "left_semi").dropDuplicates(["id", "n", "key"]).select("id", "shingles"), "ngram-sets")
+    groups = written(by_block(opened.join(sets, "id").select("block", "id", "shingles")).mapInArrow(_stored, _GROUP), "ngram-groups")
+    asking = close.join(sets, "id").select("block", "id", F.col("shingles").alias("bytes"))
+    links = written(_met(groups, asking, close).mapInArrow(_opened(percent), "a long, b long"), "ngram-links")
+    dropped(asked, unions, close, opened, needed_ids, sets, groups)
+    released(queries.sparkSession)
     return links
 
 
@@ -436,6 +480,8 @@ class Prepared(NamedTuple):
     """block, id: who is in which group."""
     queries: DataFrame
     """block, id: which document asks which group."""
+    bits: DataFrame
+    """id, n, bits: the bit row of each class."""
     gone: list[DataFrame]
 
 
@@ -453,15 +499,10 @@ def prepared(texts: DataFrame, words: int = 5, percent: int = 75) -> Prepared:
     bands = classes.select(F.col("first").alias("id"), F.explode("bands").alias("band")).distinct()
     leaders = written(bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("copies")).filter("copies > 1"), "ngram-leaders")
     follows = written(hot_join(bands, leaders, ["band"]).groupBy("id").agg(F.min("leader").alias("leader")).filter("leader < id"), "ngram-follows")
-    # a leader's bit row goes to as many places as it may have to, by a join on the leader that splits hot ones
     bits = classes.select(F.col("first").alias("id"), "n", "bits")
-    crowds = written(follows.groupBy("leader").agg(F.count("*").alias("copies")), "ngram-crowds")
-    led = written(crowds.join(bits.withColumnsRenamed({"id": "leader", "n": "leader_n", "bits": "leader_bits"}), "leader"), "ngram-led")
-    pairs = hot_join(follows.join(bits, "id"), led, ["leader"]).filter("leader_bits is not null").select("id", "n", "bits", "leader", "leader_n", "leader_bits")
-    close = written(pairs.mapInArrow(_near_enough(percent), "block long, id long"), "ngram-close")
-    stars = _links(close, close.select("block", F.col("block").alias("id")).distinct(), texts, words, percent)
+    stars = _links(follows.select(F.col("leader").alias("block"), "id"), follows.select(F.col("leader").alias("block"), F.col("leader").alias("id")).distinct(), bits, texts, words, percent)
     linked = written(components(stars, "a", "b"), "ngram-linked")
-    dropped(leaders, crowds, led, close)
+    dropped(leaders)
     released(spark)
 
     cells = "shingle long, id long, n long, indexed boolean"
@@ -489,7 +530,7 @@ def prepared(texts: DataFrame, words: int = 5, percent: int = 75) -> Prepared:
     queries = written(met.filter(other & (F.col("n") >= F.col("least")) & (100 * F.col("high") >= percent * F.col("n"))).select("block", "id").distinct(), "ngram-queries")
     dropped(matrix, documents, crowds, linked, follows)
     released(spark)
-    return Prepared(rows.select("id", "n"), copies, stars, blocks.select("block", "id"), queries, [signatures, classes, repeated, copies, stars, blocks, queries])
+    return Prepared(rows.select("id", "n"), copies, stars, blocks.select("block", "id"), queries, bits, [signatures, classes, repeated, copies, stars, blocks, queries])
 
 
 def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -501,7 +542,7 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: st
     """
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     known = prepared(texts, words, percent)
-    more = _links(known.queries, known.members, texts, words, percent)
+    more = _links(known.queries, known.members, known.bits, texts, words, percent)
     edges = known.stars.unionByName(more).unionByName(known.copies.select(F.col("id").alias("a"), F.col("first").alias("b")))
     final = written(components(edges, "a", "b"), "ngram-components")
     out = known.rows.join(final.select(F.col("node").alias("id"), "component"), "id", "left")
