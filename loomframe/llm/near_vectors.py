@@ -6,7 +6,8 @@ halve, where a node's own centre is the first centre of the level below. Two
 trees are traversed together; a pair of nodes whose centres are further apart than
 both covering radii and the threshold's distance is pruned with all below it,
 and surviving points are compared by their cosine. Pairs of blocks are pruned
-by the same bound before any tree is sent.
+by the same bound before any tree is sent: first by the cells of their pivots, then
+by the trees' roots. A block with many partners meets them in several tasks.
 
 A pair of trees gives link counts and a spanning forest of its links, at most a
 row for each vector, never the pairs themselves.
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.components import components
-from loomframe.llm.shared import hot_join, partitions, written
+from loomframe.llm.shared import dropped, hot_join, partitions, written
 from loomframe.llm.vectors import keyed, valid_vector
 
 LEAF = 32
+#: Partners of a block that one task compares it with.
+PARTNERS = 8
 #: Slack of the bounds, over the rounding of distances.
 SLACK = 1e-7
 
@@ -99,7 +102,7 @@ def _trees(group: pd.DataFrame) -> pd.DataFrame:
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     root = cover_tree(unit)
     blob = pickle.dumps((group["id"].to_numpy(), group["copies"].to_numpy(), unit, root))
-    return pd.DataFrame({"block": [group["block"].iloc[0]], "grp": [group["grp"].iloc[0]], "centre": [unit[root.centre].tolist()], "radius": [root.radius], "tree": [blob]})
+    return pd.DataFrame({"block": [group["block"].iloc[0]], "grp": [group["grp"].iloc[0]], "cell": [group["cell"].iloc[0]], "high": [float(group["dist"].max())], "centre": [unit[root.centre].tolist()], "radius": [root.radius], "tree": [blob]})
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -116,19 +119,24 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _compare(least: float):
-    """Streams (block, role, tree): the block's own tree first, then its partners. Gives (id, more links, an id it is linked with)."""
+    """Streams (block, part, role, tree): the block's own tree first, then its partners. Gives (id, more links, an id it is linked with).
+
+    In the first part the block is compared with itself, too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = block = None
+        own = None
         for batch in batches:
-            for k in range(batch.num_rows):
-                key, trees = batch.column("block")[k].as_py(), batch.column("tree")
+            trees = batch.column("tree")
+            for k, (part, role) in enumerate(zip(batch.column("part").to_pylist(), batch.column("role").to_pylist())):
                 theirs = pickle.loads(trees[k].as_buffer())
-                if key != block:
-                    block, own = key, theirs
+                if role == 0:
+                    own = theirs
+                    if part:
+                        continue
                 ids_a, copies_a, xa, ta = own
                 ids_b, copies_b, xb, tb = theirs
-                same = batch.column("role")[k].as_py() == 0
+                same = role == 0
                 i, j = dual_traversal(ta, xa, tb, xb, least)
                 if same:
                     i, j = i[i != j], j[i != j]
@@ -146,6 +154,41 @@ def _compare(least: float):
     return run
 
 
+def block_pairs(trees: DataFrame, pivots: dict[str, np.ndarray], least: float) -> DataFrame:
+    """Pairs (block, other) of blocks that may hold a link, written; each pair once.
+
+    The pivots of cells, at most ``PIVOTS``, and the furthest row of each are known to the driver, which gives the pairs
+    of cells that are near enough; blocks are joined on these pairs, never on a group alone, then by their roots.
+    """
+    spark = trees.sparkSession
+    reach = float(np.sqrt(2 - 2 * least)) + 2 * SLACK
+    outline = trees.select("block", "grp", "cell", "high", "centre", "radius")
+    furthest: dict[str, dict[int, float]] = {}
+    for x in outline.filter(F.col("grp").isin(*pivots)).groupBy("grp", "cell").agg(F.max("high").alias("high")).collect() if pivots else []:
+        furthest.setdefault(x["grp"], {})[x["cell"]] = x["high"]
+
+    def near_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grp, cell in zip(batch.column("grp").to_pylist(), batch.column("cell").to_pylist()):
+                others = np.array(sorted(c for c in furthest[grp] if c >= cell))
+                high = np.array([furthest[grp][c] for c in others])
+                apart = np.sqrt(((pivots[grp][others] - pivots[grp][cell]) ** 2).sum(axis=1))
+                others = others[apart <= furthest[grp][cell] + high + reach]
+                yield pa.record_batch({"grp": pa.array([grp] * len(others), pa.string()), "cell": pa.array([cell] * len(others), pa.int32()), "other_cell": pa.array(others, pa.int32())})
+
+    cells = outline.select("grp", "cell").distinct()
+    near = cells.filter(F.col("grp").isin(*pivots)).mapInArrow(near_cells, "grp string, cell int, other_cell int") if pivots else None
+    alone = cells.filter(~F.col("grp").isin(*pivots)) if pivots else cells
+    alone = alone.select("grp", "cell", F.col("cell").alias("other_cell"))
+    near = alone if near is None else near.unionByName(alone)
+    other = outline.select("grp", F.col("cell").alias("other_cell"), F.col("block").alias("other"), F.col("centre").alias("other_centre"), F.col("radius").alias("other_radius"))
+    dot = F.aggregate(F.zip_with("centre", "other_centre", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot))
+    once = (F.col("cell") < F.col("other_cell")) | (F.col("block") < F.col("other"))
+    met = outline.join(near, ["grp", "cell"]).join(other, ["grp", "other_cell"])
+    return written(met.filter(once & (apart <= F.col("radius") + F.col("other_radius") + reach)).select("block", "other"), "vectors-pairs")
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.93, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
@@ -160,22 +203,21 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_column: str = "vec_
     usable = usable.withColumn("grp", F.concat_ws(" ", F.size("vec").cast("string"), "label"))
     usable = usable.withColumn("same", F.sha2(F.array_join(F.transform("vec", lambda v: (v + 0.0).cast("string")), ","), 256))
     classes = written(usable.groupBy("grp", "same").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("vec").alias("vec")), "vectors-classes")
-    dealt, _ = keyed(classes.select("grp", F.col("first").alias("id"), "copies", "vec"), "unit")
-    trees = written(dealt.groupBy("block").applyInPandas(_trees, "block long, grp string, centre array<double>, radius double, tree binary"), "vectors-trees")
-
-    outline = trees.select("block", "grp", "centre", "radius")
-    other = outline.select(F.col("block").alias("other"), "grp", F.col("centre").alias("other_centre"), F.col("radius").alias("other_radius"))
-    dot = F.aggregate(F.zip_with("centre", "other_centre", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    reach = float(np.sqrt(2 - 2 * least)) + 2 * SLACK
-    pairs = outline.join(other, "grp").filter((F.col("block") < F.col("other")) & (F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= F.col("radius") + F.col("other_radius") + reach))
-    partners = pairs.select("block", "other").join(trees.select(F.col("block").alias("other"), "tree"), "other").select("block", F.lit(1).alias("role"), "tree")
-    work = trees.select("block", F.lit(0).alias("role"), "tree").unionByName(partners)
-    found = written(work.repartition(partitions(spark), "block").sortWithinPartitions("block", "role").mapInArrow(_compare(least), "id long, more long, to long"), "vectors-links")
+    dealt, pivots = keyed(classes.select("grp", F.col("first").alias("id"), "copies", "vec"), "unit")
+    trees = written(dealt.groupBy("block").applyInPandas(_trees, "block long, grp string, cell int, high double, centre array<double>, radius double, tree binary"), "vectors-trees")
+    pairs = block_pairs(trees, pivots, least)
+    parts = pairs.groupBy("block").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    mine = trees.select("block", "tree").join(parts, "block", "left").select("block", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(0).alias("role"), "tree")
+    partners = pairs.join(parts, "block").select("block", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part"), "other").join(trees.select(F.col("block").alias("other"), "tree"), "other").select("block", "part", F.lit(1).alias("role"), "tree")
+    work = mine.unionByName(partners).repartition(partitions(spark), "block", "part").sortWithinPartitions("block", "part", "role")
+    found = written(work.mapInArrow(_compare(least), "id long, more long, to long"), "vectors-links")
+    dropped(dealt, trees, pairs)
 
     links = found.groupBy("id").agg(F.sum("more").alias("more"))
     joined = written(components(found, "id", "to"), "vectors-components")
     per_class = classes.select("grp", "same", F.col("first").alias("id"), "copies").join(links, "id", "left").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
     per_class = written(per_class.select("grp", "same", "copies", (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "vectors-result")
+    dropped(classes, found, joined)
     out = hot_join(usable.select("id", "grp", "same"), per_class, ["grp", "same"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
     lone = rows.filter(~F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & valid_vector("vec") & F.exists("vec", lambda v: v != 0), F.lit(False)))
     out = out.unionByName(lone.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))

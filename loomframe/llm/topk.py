@@ -5,8 +5,9 @@ distance within blocks. For a query q, a pivot p and a row y with
 lo <= d(y, p) <= hi, the triangle inequality gives d(q, y) >= max(d(q, p) - hi,
 lo - d(q, p), 0), and as q.y = (|q|^2 + |y|^2 - d(q, y)^2) / 2, an annulus around
 p can be left out once its bound is under the k-th best score known. The first
-such score comes from each query's own block; then every block is searched from
-the annulus nearest to d(q, p) outwards until the bound stops it.
+such score comes from each query's own block. The same bound over a whole cell, then
+over each of its blocks, leaves the blocks that a query is sent to; there rows are
+searched from the annulus nearest to d(q, p) outwards until the bound stops it.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.shared import partitions, written
+from loomframe.llm.shared import dropped, partitions, written
 from loomframe.llm.vectors import keyed, valid_vector
 
-#: Queries that travel together.
-TOGETHER = 64
+#: Queries to a block that one task answers.
+QUERIES = 256
 #: Rows of an annulus that are scored at a time.
 STEP = 256
 
@@ -48,7 +49,7 @@ def _blocks(found: dict[str, np.ndarray]):
         x, grp = np.stack(group["vec"].to_numpy()).astype(np.float64), group["grp"].iloc[0]
         pivot = found[grp][group["cell"].iloc[0]] if grp in found else np.zeros(x.shape[1])
         blob = pickle.dumps((group["id"].to_numpy(), x, group["dist"].to_numpy(), pivot, float((x * x).sum(axis=1).max())))
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "grp": [grp], "rows": [blob]})
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "grp": [grp], "cell": [group["cell"].iloc[0]], "low": [group["dist"].iloc[0]], "high": [group["dist"].iloc[-1]], "norm": [float((x * x).sum(axis=1).max())], "rows": [blob]})
 
     return run
 
@@ -103,32 +104,76 @@ def _seed(k: int):
     return run
 
 
-def _packed(group: pd.DataFrame) -> pd.DataFrame:
-    blob = pickle.dumps((group["query_id"].to_numpy(), np.stack(group["vec"].to_numpy()), group["floor"].to_numpy()))
-    return pd.DataFrame({"grp": [group["grp"].iloc[0]], "rows": [blob]})
+def _room(square: Column, norm: Column, floor: Column) -> Column:
+    """The largest distance at which a row of that norm can still reach the floor; null if none can."""
+    room = square + norm - floor * 2
+    return F.when(room >= 0, F.sqrt(room) * (1 + 1e-9) + 1e-6)
+
+
+def _cells(found: dict[str, np.ndarray], outlines: dict[str, list[tuple[int, float, float, float]]]):
+    """(query_id, grp, floor, vec): each query with the cells of its group that its bound leaves, and its distance to their pivots.
+
+    Groups without pivots have one cell, around zero, which is always left.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict] = []
+            for query_id, grp, floor, vec in zip(*[batch.column(c).to_pylist() for c in ("query_id", "grp", "floor", "vec")]):
+                q = np.asarray(vec, np.float64)
+                square = float(q @ q)
+                base = {"query_id": query_id, "grp": grp, "floor": floor, "square": square}
+                if grp not in found:
+                    out.append(base | {"cell": 0, "own": float(np.sqrt(square))})
+                    continue
+                table = np.array(outlines[grp])
+                own = np.sqrt(((found[grp][table[:, 0].astype(np.int64)] - q) ** 2).sum(axis=1))
+                room = square + table[:, 3] - 2 * floor
+                near = np.maximum(own - table[:, 2], table[:, 1] - own)
+                left = (room >= 0) & (near <= np.sqrt(np.maximum(room, 0)) * (1 + 1e-9) + 1e-6)
+                out += [base | {"cell": int(c), "own": float(d)} for c, d in zip(table[left, 0], own[left])]
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    arrow = pa.schema([("query_id", pa.int64()), ("grp", pa.string()), ("floor", pa.float64()), ("square", pa.float64()), ("cell", pa.int32()), ("own", pa.float64())])
+    return run
 
 
 def _search_all(k: int):
-    """(block, role, rows): a block, then packs of queries; gives each query's best of the block."""
+    """(block, part, role, query_id, floor, vec, rows): a block, then its queries; gives each query's best of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None
         for batch in batches:
-            for role, rows in zip(batch.column("role").to_pylist(), batch.column("rows")):
+            out: list[tuple[int, np.ndarray, np.ndarray]] = []
+            blobs, vectors = batch.column("rows"), batch.column("vec")
+            for n, (role, query_id, floor) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("role", "query_id", "floor")])):
                 if role == 0:
-                    block = pickle.loads(rows.as_buffer())
+                    block = pickle.loads(blobs[n].as_buffer())
                     continue
-                out: list[tuple[int, np.ndarray, np.ndarray]] = []
-                for query_id, q, floor in zip(*pickle.loads(rows.as_buffer())):
-                    ids, scores = search(block, int(query_id), q, float(floor), k)
-                    if len(ids):
-                        out.append((int(query_id), ids, scores))
-                if out:
-                    yield pa.record_batch({"query_id": np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out]), "vec_id": np.concatenate([i for _, i, _ in out]), "score": np.concatenate([s for _, _, s in out])})
+                ids, scores = search(block, query_id, np.asarray(vectors[n].as_py(), np.float64), floor, k)
+                if len(ids):
+                    out.append((query_id, ids, scores))
+            if out:
+                yield pa.record_batch({"query_id": np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out]), "vec_id": np.concatenate([i for _, i, _ in out]), "score": np.concatenate([s for _, _, s in out])})
 
     return run
 
 
+def asked_blocks(seeds: DataFrame, blocks: DataFrame, found: dict[str, np.ndarray]) -> DataFrame:
+    """(query_id, block) wherever the bound of the block's annulus reaches the query's floor.
+
+    Only the outlines of the pivots' cells come to the driver, at most as many as pivots.
+    """
+    cells = blocks.filter(F.col("grp").isin(*found)).groupBy("grp", "cell").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm")).collect() if found else []
+    outlines: dict[str, list[tuple[int, float, float, float]]] = {}
+    for x in sorted(cells, key=lambda x: (x["grp"], x["cell"])):
+        outlines.setdefault(x["grp"], []).append((x["cell"], x["low"], x["high"], x["norm"]))
+    near = seeds.mapInArrow(_cells(found, outlines), "query_id long, grp string, floor double, square double, cell int, own double")
+    annuli = near.join(blocks.select("grp", "cell", "block", "low", "high", "norm"), ["grp", "cell"])
+    apart = F.greatest(F.col("own") - F.col("high"), F.col("low") - F.col("own"))
+    return annuli.filter(apart <= _room(F.col("square"), F.col("norm"), F.col("floor"))).select("query_id", "block")
+
+
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of each query, the rows whose id is divisible by ``every``.
 
@@ -142,21 +187,21 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vec")).filter(F.col("id").isNotNull() & valid_vector("vec"))
     rows = rows.select("id", F.transform("vec", lambda v: F.floor(v * scale).cast("double")).alias("vec"), F.lit(1).cast("long").alias("copies"), F.size("vec").cast("string").alias("grp"))
     dealt, found = keyed(rows)
-    dealt = written(dealt, "topk-dealt")
-    blocks = written(dealt.groupBy("block").applyInPandas(_blocks(found), "block long, grp string, rows binary"), "topk-blocks")
+    blocks = written(dealt.groupBy("block").applyInPandas(_blocks(found), "block long, grp string, cell int, low double, high double, norm double, rows binary"), "topk-blocks")
     queries = dealt.filter(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("vec", "block", "grp")).alias("q")).select(F.col("id").alias("query_id"), "q.*")
     none = F.lit(None)
+    n = partitions(spark)
     own = queries.select("block", F.lit(1).alias("role"), none.cast("binary").alias("rows"), "query_id", "vec")
     used = blocks.join(queries.select("block").distinct(), "block", "left_semi").select("block", F.lit(0).alias("role"), "rows", none.cast("long").alias("query_id"), none.cast("array<double>").alias("vec"))
-    n = partitions(spark)
     seeds = written(used.unionByName(own).repartition(n, "block").sortWithinPartitions("block", "role", "query_id").mapInArrow(_seed(k), "query_id long, floor double, vec array<double>"), "topk-seeds")
     seeds = seeds.withColumn("grp", F.size("vec").cast("string"))
-    packs = max(1, -(-seeds.count() // TOGETHER))
-    packed = written(seeds.withColumn("pack", F.pmod(F.xxhash64("query_id"), F.lit(packs))).groupBy("grp", "pack").applyInPandas(_packed, "grp string, rows binary"), "topk-packs")
-    # the stated queries against all rows, in blocks: packs of queries meet blocks of the same dimension
-    asked = blocks.select("block", "grp").join(packed, "grp").select("block", F.lit(1).alias("role"), "rows")
-    work = blocks.select("block", F.lit(0).alias("role"), "rows").unionByName(asked)
-    partial = work.repartition(n, "block").sortWithinPartitions("block", "role").mapInArrow(_search_all(k), "query_id long, vec_id long, score long")
+    asked = written(asked_blocks(seeds, blocks, found), "topk-asked")
+    parts = asked.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    offered = blocks.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "rows")
+    sent = asked.join(parts, "block").join(seeds, "query_id").select("block", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "query_id", "floor", "vec")
+    work = offered.unionByName(sent, allowMissingColumns=True).repartition(n, "block", "part").sortWithinPartitions("block", "part", "role")
+    partial = written(work.mapInArrow(_search_all(k), "query_id long, vec_id long, score long"), "topk-found")
+    dropped(dealt, blocks, seeds, asked)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -2,8 +2,9 @@
 
 Rows of one group (a label, a dimension) are keyed by their nearest pivot and
 their distance to it. Distances are cut at quantiles to rings, and rings that are
-still too full by a hash, so a block has about ``BLOCK`` rows whatever the group's
-size. Pivots are a sample of at most ``PIVOTS`` rows; every row is keyed.
+still too full, as many rows may have the same distance, by a hash; so a block has
+about ``BLOCK`` rows whatever the group's size. Pivots are a sample of at most
+``PIVOTS`` rows; every row is keyed.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.shared import written
+from loomframe.llm.shared import dropped, hot_join, written
 
 BLOCK = 1024
 PIVOTS = 2048
@@ -29,8 +30,8 @@ def valid_vector(column: str) -> Column:
     return F.coalesce(x.isNotNull() & (F.size(x) > 0) & ~bad, F.lit(False))
 
 
-def pivots(rows: DataFrame, per: int = BLOCK // 2) -> dict[str, np.ndarray]:
-    """For each group of more than ``BLOCK`` rows, one pivot per ``per`` rows, but at most ``PIVOTS`` in all.
+def pivots(rows: DataFrame) -> dict[str, np.ndarray]:
+    """For each group of more than ``BLOCK`` rows, one pivot per half ``BLOCK`` rows, but at most ``PIVOTS`` in all.
 
     The sample is drawn by a hash of the id, as large a share of every group, and is all that comes to the driver.
     """
@@ -38,7 +39,7 @@ def pivots(rows: DataFrame, per: int = BLOCK // 2) -> dict[str, np.ndarray]:
     total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     if not total:
         return {}
-    share = min(PIVOTS, total / per) / total
+    share = min(PIVOTS, total / (BLOCK / 2)) / total
     drawn = rows.join(sizes.select("grp"), "grp", "left_semi").filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 40)) < int(2 * share * (1 << 40)) + 1)
     drawn = drawn.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(PIVOTS).select("grp", "vec").collect()
     out: dict[str, list] = {}
@@ -47,12 +48,12 @@ def pivots(rows: DataFrame, per: int = BLOCK // 2) -> dict[str, np.ndarray]:
     return {g: np.unique(np.array(v, np.float64), axis=0) for g, v in out.items()}
 
 
-def keyed(rows: DataFrame, scale: str = "none", per: int = BLOCK // 2) -> tuple[DataFrame, dict[str, np.ndarray]]:
+def keyed(rows: DataFrame, scale: str = "none") -> tuple[DataFrame, dict[str, np.ndarray]]:
     """Rows (grp, id, copies, vec: array of double) with cell, dist (to the cell's pivot) and block; and the pivots.
 
     ``scale`` is "unit" to measure between unit vectors. A group without pivots has one cell, measured from its own zero.
     """
-    found = pivots(rows, per)
+    found = pivots(rows)
     unit = scale == "unit"
     if unit:
         found = {g: p / np.linalg.norm(p, axis=1, keepdims=True) for g, p in found.items()}
@@ -83,6 +84,12 @@ def keyed(rows: DataFrame, scale: str = "none", per: int = BLOCK // 2) -> tuple[
     step = F.greatest(F.lit(1), F.floor(RINGS * BLOCK / F.col("n"))).cast("int")
     passed = F.size(F.filter("cuts", lambda c: c < F.col("dist")))
     ring = F.coalesce(F.floor(passed / step), F.lit(0)).cast("int")
-    slots = F.coalesce(F.ceil(F.col("n") / (RINGS * BLOCK)), F.lit(1))
-    joined = dealt.join(F.broadcast(cuts) if cuts.count() <= PIVOTS else cuts, ["grp", "cell"], "left")
-    return joined.withColumn("block", F.xxhash64("grp", "cell", ring, F.pmod(F.xxhash64("id"), slots))).select("grp", "id", "copies", "vec", "cell", "dist", "block"), found
+    # groups over BLOCK rows have pivots, so besides these few groups there are no cuts
+    joined = dealt.join(F.broadcast(cuts) if cuts.count() <= 2 * PIVOTS else cuts, ["grp", "cell"], "left")
+    ringed = written(joined.select("grp", "id", "copies", "vec", "cell", "dist", ring.alias("ring")), "vectors-ringed")
+    full = written(ringed.groupBy("grp", "cell", "ring").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > BLOCK), "vectors-full")
+    slots = F.coalesce(F.ceil(F.col("crowd") / BLOCK), F.lit(1))
+    blocked = hot_join(ringed, full, ["grp", "cell", "ring"], "crowd").withColumn("block", F.xxhash64("grp", "cell", "ring", F.pmod(F.xxhash64("id"), slots)))
+    blocked = written(blocked.select("grp", "id", "copies", "vec", "cell", "dist", "block"), "vectors-blocked")
+    dropped(dealt, ringed, full)
+    return blocked, found

@@ -202,8 +202,9 @@ def test_streams_keep_shingles_that_are_met():
 
     rng = random.Random(3)
     for _ in range(200):
-        rows = sorted({(rng.randrange(6), not rng.random() < 0.6, rng.randrange(4), 5) for _ in range(rng.randrange(12))} | set())
-        rows = sorted([r for r in rows for _ in range(rng.choice([1, 1, 2]))])
+        indexed = {(s, k): rng.random() < 0.6 for s in range(6) for k in range(4)}
+        cells = {(rng.randrange(6), rng.randrange(4)) for _ in range(rng.randrange(12))}
+        rows = sorted((s, not indexed[s, k], k, 5) for s, k in cells for _ in range(rng.choice([1, 1, 2])))
         want = [r for r in sorted(set(rows)) if len({x for x in rows if x[0] == r[0]}) > 1 and not min(x[1] for x in rows if x[0] == r[0])]
         batches, at = [], 0
         while at < len(rows):
@@ -213,3 +214,51 @@ def test_streams_keep_shingles_that_are_met():
             at += n
         got = [(s, not i, k, n) for b in ngram_join._met_only(iter(batches)) for s, k, n, i in zip(*b.to_pydict().values())]
         assert sorted(got) == want
+
+
+def test_equal_distances_don_t_fill_a_block(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from loomframe.llm import vectors as deal
+
+    monkeypatch.setattr(deal, "BLOCK", 64)
+    rows = [(k, [float(k % 97 == j) + float(k // 97 % 97 == j) for j in range(97)]) for k in range(1200)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>").select("id", "vec", F.lit("g").alias("grp"), F.lit(1).cast("long").alias("copies"))
+    dealt, _ = deal.keyed(df)
+    sizes = [r["count"] for r in dealt.groupBy("block").count().collect()]
+    assert sum(sizes) == 1200 and max(sizes) <= 2 * 64
+
+
+def test_queries_and_blocks_meet_only_where_bounds_allow(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from loomframe.llm import vectors as deal
+
+    monkeypatch.setattr(deal, "BLOCK", 50)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 6)) * 4
+    rows = [(k, [float(v) for v in centres[k % 40] + 0.05 * rng.normal(size=6)], 1, 0.0, 0) for k in range(2000)]
+    df = spark.createDataFrame(rows, VECTORS)
+    slim = df.select(F.col("vec_id").alias("id"), F.lit(1).cast("long").alias("copies"), F.lit("g").alias("grp"), F.col("embedding").cast("array<double>").alias("vec"))
+    dealt, pivots = deal.keyed(slim, "unit")
+    trees = dealt.groupBy("block").applyInPandas(near_vectors._trees, "block long, grp string, cell int, high double, centre array<double>, radius double, tree binary").cache()
+    n = trees.count()
+    assert near_vectors.block_pairs(trees, pivots, 0.93).count() < n * (n - 1) / 2 / 3
+    whole = {i: np.floor(np.array(x) * 1024).astype(int) for i, x, *_ in rows}
+    want = {}
+    for q in range(0, 2000, 100):
+        scores = sorted((-int(whole[q] @ y), i) for i, y in whole.items() if i != q)
+        want |= {(q, k): (i, -s) for k, (s, i) in enumerate(scores[:10], 1)}
+    asked = []
+    meets = topk.asked_blocks
+    monkeypatch.setattr(topk, "asked_blocks", lambda seeds, blocks, found: asked.append((blocks.count(), seeds.count(), meets(seeds, blocks, found).count())) or meets(seeds, blocks, found))
+    got = topk.top_k(df).collect()
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == want
+    ((blocks, queries, sent),) = asked
+    assert queries == 20 and sent < blocks * queries / 2
+
+
+def test_top_k_of_repeated_and_null_queries(spark):
+    rows = [(0, [1.0, 0.0], 1, 0.0, 0), (0, [0.5, 0.0], 1, 0.0, 0), (1, [1.0, 1.0], 1, 0.0, 0), (2, [0.0, 1.0], 1, 0.0, 0), (None, [9.0, 9.0], 1, 0.0, 0)]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, VECTORS), k=5).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 512 * 1024), (0, 2, 2, 0)]
