@@ -1,4 +1,4 @@
-"""Licence scan: lines, paragraphs and whole texts against licence templates by the Dice coefficient of word bigrams.
+"""Licence scan: lines, runs of paragraphs and whole texts against licence templates by the Dice coefficient of word bigrams.
 
 All of it is DataFrame functions. A unit's words are its runs of a-z and 0-9 after
 A-Z are lower-cased; its bigrams are the distinct pairs of neighbouring words. With
@@ -9,7 +9,8 @@ depends on the templates alone.
 
 The bound also says how many of a template's bigrams a unit must hold. Anchors are
 words chosen so that too few bigrams are left without one of them: a text that
-holds no anchor of any template can't match and isn't cut into units.
+holds no anchor of any template can't match and isn't cut into units, and a unit
+that holds none isn't cut into bigrams.
 """
 
 from __future__ import annotations
@@ -55,6 +56,64 @@ TEMPLATES = {
         the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
         details. You should have received a copy of the GNU General Public License along with this program. If not, see
         https://www.gnu.org/licenses/.""",
+    "AGPL-3.0 header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General
+        Public License for more details. You should have received a copy of the GNU Affero General Public License along with
+        this program. If not, see https://www.gnu.org/licenses/.""",
+    "LGPL-2.1 header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your
+        option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General
+        Public License for more details. You should have received a copy of the GNU Lesser General Public License along with
+        this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA
+        02110-1301 USA""",
+    "MPL-2.0 header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+        not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+        GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+        LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+        OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+        this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY
+        THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+        THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+        COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+        DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+        BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+        (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+        POSSIBILITY OF SUCH DAMAGE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+        any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+        software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated
+        but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being
+        the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+        commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors
+        of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication
+        for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be
+        an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE
+        SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+        LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+        OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer
+        to https://unlicense.org""",
+    "CC0-1.0 notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "CC-BY-4.0 notice": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
@@ -64,6 +123,10 @@ TEMPLATES = {
 }
 
 
+#: Numbers of paragraphs in a row that are compared as one unit, beside single ones.
+RUNS = (2, 3, 4, 5, 6)
+
+
 def template_bigrams(text: str) -> list[str]:
     words = "".join(c if c in LOWER + "0123456789" else " " for c in text.translate(str.maketrans(UPPER, LOWER))).split()
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
@@ -97,8 +160,9 @@ def bigrams(text: Column) -> Column:
 def licence_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per unit and template with a coefficient of at least ``least``: doc_id, unit, unit_no, licence, dice.
 
-    Units are the lines, the paragraphs (parted by lines without text) of several lines, and the whole text if it has
-    several paragraphs; unit_no counts from 0. Null, empty and wordless texts match nothing; null ids and repeated rows
+    Units are the lines, the paragraphs (parted by lines without text) of several lines, each 2 to 6 of more paragraphs in
+    a row ("paragraphs 2" and so on), and the whole text if it has several paragraphs; unit_no counts from 0, for runs
+    that of the first paragraph. Very long texts are taken whole. Null, empty and wordless texts match nothing; null ids and repeated rows
     stay as they are. Several templates may match a unit; ties are all returned. Without templates: no rows.
     """
     spark = docs.sparkSession
@@ -117,14 +181,21 @@ def licence_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     paragraphs = F.split(part, "\n[ \t\r]*\n")
     several = F.filter(F.transform(paragraphs, unit("paragraph")), lambda u: F.contains(u["part"], F.lit("\n")))
     whole = F.when(F.size(paragraphs) > 1, F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("unit_no"), part.alias("part")))).otherwise(F.array().cast("array<struct<unit:string,unit_no:int,part:string>>"))
-    held = F.lit(False)
-    for word in sorted(set().union(*[anchors(grams, least) for _, _, grams in {name: (0, name, g) for _, name, g in rows}.values()])) if rows else []:
-        held = held | (F.col("_text").rlike("(?i)" + word.replace(" ", "[^A-Za-z0-9]+")) if " " in word else F.contains(F.col("_lower"), F.lit(word)))
-    # lower() maps more letters than A-Z, so it finds no fewer anchors
-    docs = docs.select(F.col(id_column).cast("long").alias("_id"), text.alias("_text"), F.lower(text).alias("_lower")).filter(F.coalesce(held, F.lit(False)))
-    units = docs.select(F.col("_id").alias("doc_id"), F.explode(F.concat(lines, several, whole)).alias("u")).select("doc_id", "u.unit", "u.unit_no", "u.part")
+    run = lambda w: F.when(F.size("_parts") > w, F.transform(F.sequence(F.lit(0), F.size("_parts") - w), lambda k: F.struct(F.lit(f"paragraphs {w}").alias("unit"), k.alias("unit_no"), F.array_join(F.slice("_parts", k + 1, w), "\n\n").alias("part")))).otherwise(F.array().cast("array<struct<unit:string,unit_no:int,part:string>>"))
+    words = sorted(set().union(*[anchors(grams, least) for _, _, grams in {name: (0, name, g) for _, name, g in rows}.values()])) if rows else []
+
+    def holds(plain: Column, lower: Column) -> Column:
+        # lower() maps more letters than A-Z, so it finds no fewer anchors
+        held = F.lit(False)
+        for word in words:
+            held = held | (plain.rlike("(?i)" + word.replace(" ", "[^A-Za-z0-9]+")) if " " in word else F.contains(lower, F.lit(word)))
+        return F.coalesce(held, F.lit(False))
+
+    docs = docs.select(F.col(id_column).cast("long").alias("_id"), text.alias("_text"), F.lower(text).alias("_lower")).filter(holds(F.col("_text"), F.col("_lower")))
+    docs = docs.select("_id", "_text", paragraphs.alias("_parts"))
+    units = docs.select(F.col("_id").alias("doc_id"), F.explode(F.concat(lines, several, *map(run, RUNS), whole)).alias("u")).select("doc_id", "u.unit", "u.unit_no", "u.part")
     # n bigrams take n + 1 words, and these at least 2 n + 1 characters
-    units = units.filter(F.length("part") >= 2 * shortest + 1)
+    units = units.filter(F.length("part") >= 2 * shortest + 1).withColumn("_lower", F.lower("part")).filter(holds(F.col("part"), F.col("_lower")))
     grams = units.withColumn("grams", bigrams(F.col("part"))).withColumn("n", F.size("grams")).select("doc_id", "unit", "unit_no", "grams", "n")
     found = grams.join(F.broadcast(table), "n")
     dice = 2.0 * F.size(F.array_intersect("grams", "template")) / (F.col("n") + F.size("template"))
@@ -141,6 +212,7 @@ def licence_sql(templates: dict[str, str] = TEMPLATES, least: float = 0.8) -> st
     u AS (
       SELECT doc_id, 'line' AS unit, unnest(range(len(lines))) AS unit_no, unnest(lines) AS part FROM p
       UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(paragraphs))), unnest(paragraphs) AS part FROM p) WHERE contains(part, chr(10))
+      UNION ALL SELECT doc_id, 'paragraphs ' || w, k, array_to_string(paragraphs[k + 1 : k + w], chr(10) || chr(10)) FROM (SELECT doc_id, paragraphs, w, unnest(range(len(paragraphs) - w + 1)) AS k FROM p, (VALUES {', '.join(f'({w})' for w in RUNS)}) AS v(w) WHERE len(paragraphs) > w)
       UNION ALL SELECT doc_id, 'text', 0, text FROM p WHERE len(paragraphs) > 1),
     w AS (SELECT doc_id, unit, unit_no, list_filter(string_split(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM u),
     g AS (SELECT doc_id, unit, unit_no, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams FROM w WHERE len(words) > 1),
