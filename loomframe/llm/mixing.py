@@ -1,20 +1,23 @@
-"""Document rates that bring the expected token totals of soft domains to target weights.
-
-All of it is DataFrame functions. A labelled table trains two naive Bayes models on
-hashed words, of quality and of toxicity; a document belongs to each of the four
-domains that they span with a posterior probability. With r documents' rates, t
-their tokens and p their posteriors, r >= 0 is sought with sum r t p_d nearest to the
-targets T_d. A ridge, the sum of r^2 t times a small number, makes the rates unique:
-they are the posteriors' sums by four weights, cut off at 0, and Newton steps find the
-weights. A step is one aggregate of the posterior table, the totals and the 4 x 4
-second moments of the documents with positive rates. Weights also bound how near any
-rates can come, so the ridge is lowered until no others come noticeably nearer.
+"""Document rates that bring the expected word totals of soft domains to target weights.
+
+All of it is DataFrame functions. A labelled table trains one naive Bayes model of
+the four domains (quality by toxicity) on hashed words; a document belongs to each
+domain with a posterior probability, whose sharpness is set on labelled documents
+that are held out. With r documents' rates, t their words and p their posteriors,
+r >= 0 is sought with sum r t p_d nearest to the targets T_d. A ridge, the sum of
+r^2 t times a small number, makes the rates unique: they are the posteriors' sums by
+four weights, projected to 0 and above. A step moves the weights along the gradient,
+scaled by the second moments of the documents whose rates are positive; it is one
+aggregate of the posterior table. Weights also bound how near any rates can come, so
+the ridge is lowered until no others come noticeably nearer. Sums are of whole
+multiples of a small unit, so they don't depend on how the rows are partitioned.
 """
 
 from __future__ import annotations
 
 import warnings
 from math import log
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,8 +29,8 @@ BUCKETS = 4096
 DOMAINS = ("good_clean", "good_toxic", "poor_clean", "poor_toxic")
 #: Shares of all tokens.
 TARGETS = {"good_clean": 0.9, "good_toxic": 0.03, "poor_clean": 0.06, "poor_toxic": 0.01}
-#: Words whose evidence counts in full; that of longer texts is averaged to so many.
-EVIDENCE = 64
+#: Words whose evidence counts in full; that of longer texts is averaged to so many. The best of these on held-out documents is taken.
+EVIDENCE = (4, 8, 16, 32, 64, 128, 256, 512)
 
 
 def word_list(text: str) -> Column:
@@ -39,56 +42,81 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(F.lower(word)), F.lit(BUCKETS)).cast("int")
 
 
-def _summed(weights: list[float]) -> Column:
-    """Sum of the weights of a document's buckets. The table is one constant, which the optimiser folds."""
-    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
-    return F.aggregate("_buckets", F.lit(0.0), lambda s, b: s + F.get(table, b))
+def _evidence(weights: list[list[float]]) -> Column:
+    """Sums (s1, s2, s3) of the weights of a document's buckets. Tables are constants, which the optimiser folds."""
+    tables = [F.split(F.lit(",".join(map(repr, w))), ",").cast("array<double>") for w in weights]
+    start = F.struct(*[F.lit(0.0).alias(f"s{d}") for d in range(1, len(tables) + 1)])
+    return F.aggregate("_buckets", start, lambda s, b: F.struct(*[(s[f"s{d}"] + F.get(table, b)).alias(f"s{d}") for d, table in enumerate(tables, 1)]))
 
 
-class Classifier:
-    """Weights of each hashed word for quality and toxicity, and the log odds before any word."""
+def _posteriors(priors: list[float], evidence: int) -> list[Column]:
+    """Probabilities of the domains from _s (against the first domain) and _tokens."""
+    part = F.greatest(F.lit(1.0), F.col("_tokens") / evidence)
+    odds = [F.lit(priors[0])] + [F.lit(priors[d]) + F.col(f"_s.s{d}") / part for d in range(1, len(priors))]
+    top = F.greatest(*odds)
+    parts = [F.exp(x - top) for x in odds]
+    total = sum(parts[1:], parts[0])
+    return [x / total for x in parts]
 
-    def __init__(self, weights: dict[str, list[float]], priors: dict[str, float]):
-        self.weights, self.priors = weights, priors
+
+class Classifier(NamedTuple):
+    """Weights of each hashed word for the second to fourth domain against the first, log priors, and how they did on held-out documents."""
+
+    weights: list[list[float]]
+    priors: list[float]
+    evidence: int = 64
+    held_out: int = 0
+    log_loss: float | None = None
+    accuracy: float | None = None
+    mean_chance: float | None = None
+    """Of the domain predicted; near the accuracy if the posteriors are calibrated."""
+
+    def evidenced(self, docs: DataFrame, text_column: str = "text") -> DataFrame:
+        words = docs.withColumn("_buckets", F.transform(word_list(text_column), _bucket)).withColumn("_tokens", F.size("_buckets").cast("long"))
+        return words.withColumn("_s", _evidence(self.weights)).drop("_buckets")
 
     def posteriors(self, docs: DataFrame, text_column: str = "text") -> DataFrame:
         """``docs`` with _tokens and _p0 to _p3, the posteriors of DOMAINS."""
-        words = docs.withColumn("_buckets", F.transform(word_list(text_column), _bucket)).withColumn("_tokens", F.size("_buckets").cast("long"))
-        chance = {}
-        for name in ("quality", "toxic"):
-            total = _summed(self.weights[name])
-            odds = F.lit(self.priors[name]) + total / F.greatest(F.lit(1.0), F.col("_tokens") / EVIDENCE)
-            chance[name] = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
-        q, t = F.col("_q"), F.col("_t")
-        split = words.withColumns({"_q": chance["quality"], "_t": chance["toxic"]}).drop("_buckets")
-        return split.withColumns({"_p0": q * (1 - t), "_p1": q * t, "_p2": (1 - q) * (1 - t), "_p3": (1 - q) * t}).drop("_q", "_t")
+        split = self.evidenced(docs, text_column)
+        return split.withColumns({f"_p{d}": p for d, p in enumerate(_posteriors(self.priors, self.evidence))}).drop("_s")
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = 20000, id_column: str = "doc_id", text_column: str = "text") -> Classifier:
-    """Naive Bayes on at most about ``sample`` labelled documents, drawn by a hash of the id.
+    """Naive Bayes of the four domains on at most about ``sample`` labelled documents, drawn by a hash of the id.
 
-    The sample of labels is bounded, so it is broadcast to the scan of the texts, which doesn't move them; counts are
-    combined before they are shuffled, to ``BUCKETS`` rows. Labels that are null teach nothing; of several rows of a
-    document the highest labels count. Without labels every posterior is one in four.
+    A quarter of them is held out, to choose how much evidence counts by the log loss. The sample of labels is bounded,
+    so it is broadcast to the scan of the texts, which doesn't move them; counts are combined before they are shuffled,
+    to ``BUCKETS`` rows. Rows with a null label teach nothing; of several rows of a document the highest labels count.
+    Without labels every posterior is one in four.
     """
-    known = labels.filter(F.col("doc_id").isNotNull())
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     n = known.count()
     part = int(min(1.0, sample / max(1, n)) * (1 << 40))
     drawn = known.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(3)), F.lit(1 << 40)) < part).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").cast("int").alias("_quality"), F.max("toxic").cast("int").alias("_toxic")).limit(2 * sample)
-    words = docs.select(F.col(id_column).cast("long").alias("_id"), F.transform(word_list(text_column), _bucket).alias("_words")).join(F.broadcast(drawn), "_id").select("_quality", "_toxic", F.explode("_words").alias("bucket"))
-    number = lambda name, value: F.sum((F.col(name) == value).cast("long")).alias(f"{name}{value}")
-    counts = words.groupBy("bucket").agg(*[number(f"_{x}", v) for x in ("quality", "toxic") for v in (0, 1)]).collect()
-    seen = drawn.agg(*[number(f"_{x}", v) for x in ("quality", "toxic") for v in (0, 1)]).first()
-    weights, priors = {}, {}
-    for name in ("quality", "toxic"):
-        table = np.zeros((BUCKETS, 2))
-        for row in counts:
-            table[row["bucket"]] = row[f"_{name}0"] or 0, row[f"_{name}1"] or 0
-        smooth = table + 1.0
-        share = np.log(smooth / smooth.sum(axis=0))
-        weights[name] = (share[:, 1] - share[:, 0]).round(9).tolist() if table.sum(axis=0).min() > 0 else [0.0] * BUCKETS
-        priors[name] = round(log(((seen[f"_{name}1"] or 0) + 1) / ((seen[f"_{name}0"] or 0) + 1)), 9)
-    return Classifier(weights, priors)
+    drawn = drawn.select("_id", ((1 - F.col("_quality")) * 2 + F.col("_toxic")).alias("_domain"), (F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(4)) == 0).alias("_held"))
+    labelled = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text")).join(F.broadcast(drawn), "_id")
+    number = [F.count_if(F.col("_domain") == d).alias(f"d{d}") for d in range(len(DOMAINS))]
+    words = labelled.filter(~F.col("_held")).select("_domain", F.explode(F.transform(word_list("_text"), _bucket)).alias("bucket"))
+    counts = words.groupBy("bucket").agg(*number).collect()
+    seen = drawn.filter(~F.col("_held")).agg(*number).first()
+    table = np.zeros((BUCKETS, len(DOMAINS)))
+    for row in counts:
+        table[row["bucket"]] = [row[f"d{d}"] for d in range(len(DOMAINS))]
+    everywhere = np.log((table.sum(axis=1) + 1) / (table.sum() + BUCKETS))
+    # a domain that no document has shown says nothing about any word
+    share = [np.log((table[:, d] + 1) / (table[:, d].sum() + BUCKETS)) if table[:, d].any() else everywhere for d in range(len(DOMAINS))]
+    weights = [(share[d] - share[0]).round(9).tolist() for d in range(1, len(DOMAINS))]
+    documents = [seen[f"d{d}"] for d in range(len(DOMAINS))]
+    priors = [round(log((x + 1) / (sum(documents) + len(DOMAINS))), 9) for x in documents]
+    model = Classifier(weights, priors)
+    true = lambda p: F.get(F.array(*p), F.col("_domain"))
+    held = model.evidenced(labelled.filter("_held"), "_text").filter("_tokens > 0")
+    chances = {e: _posteriors(priors, e) for e in EVIDENCE}
+    scored = held.agg(F.count("*").alias("n"), *[F.avg(-F.log(F.greatest(true(p), F.lit(1e-12)))).alias(f"loss{e}") for e, p in chances.items()], *[F.avg((true(p) == F.greatest(*p)).cast("double")).alias(f"hit{e}") for e, p in chances.items()], *[F.avg(F.greatest(*p)).alias(f"sure{e}") for e, p in chances.items()]).first()
+    if not scored["n"]:
+        return model
+    best = min(EVIDENCE, key=lambda e: (round(scored[f"loss{e}"], 9), e))
+    return model._replace(evidence=best, held_out=scored["n"], log_loss=scored[f"loss{best}"], accuracy=scored[f"hit{best}"], mean_chance=scored[f"sure{best}"])
 
 
 def rate_column(steps: list[list[float]], start: list[float]) -> Column:
@@ -105,15 +133,24 @@ def solve_rates(rows: DataFrame, targets: list[float], iterations: int = 400, cl
     """
     n = len(targets)
     p = [F.col(f"_p{d}") for d in range(n)]
+    # sums of whole numbers are the same in any order: each term is split to a high and a low part, both whole
+    size = (rows.agg(F.sum("_tokens").alias("n")).first()["n"] or 0).bit_length()
+    high_unit, low_unit = 2.0 ** max(-10, min(30, 42 - size)), 2.0**28
+
+    def parts(name: str, x: Column) -> list[Column]:
+        scaled = x * high_unit
+        high = F.round(scaled)
+        return [F.sum(high.cast("long")).alias(name), F.sum(F.round((scaled - high) * low_unit).cast("long")).alias(f"{name}_low")]
 
     def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray, float]:
         got = rows.withColumn("_r", rate_column(steps, start)).agg(
-            *[F.sum(F.col("_r") * F.col("_tokens") * p[d]).alias(f"s{d}") for d in range(n)],
-            *[F.sum(F.when(F.col("_r") > 0, F.col("_tokens") * p[d] * p[e])).alias(f"m{d}_{e}") for d in range(n) for e in range(d, n)],
+            *[c for d in range(n) for c in parts(f"s{d}", F.col("_r") * F.col("_tokens") * p[d])],
+            *[c for d in range(n) for e in range(d, n) for c in parts(f"m{d}_{e}", F.when(F.col("_r") > 0, F.col("_tokens") * p[d] * p[e]))],
             F.max(F.when(F.col("_tokens") > 0, F.col("_r"))).alias("top"),
         ).first()
-        second = np.array([[got[f"m{min(d, e)}_{max(d, e)}"] or 0.0 for e in range(n)] for d in range(n)])
-        return np.array([got[f"s{d}"] or 0.0 for d in range(n)]), second, got["top"] or 0.0
+        whole = lambda name: ((got[name] or 0) + (got[f"{name}_low"] or 0) / low_unit) / high_unit
+        second = np.array([[whole(f"m{min(d, e)}_{max(d, e)}") for e in range(n)] for d in range(n)])
+        return np.array([whole(f"s{d}") for d in range(n)]), second, got["top"] or 0.0
 
     start = [1.0] * n
     steps: list[list[float]] = []
@@ -151,7 +188,7 @@ def solve_rates(rows: DataFrame, targets: list[float], iterations: int = 400, cl
             if abs(left) <= 0.5 * abs(first) or (high and high[0] - low[0] < 1e-9 * high[0]):
                 break
             low, high = ((pace, left), high) if left < 0 else (low, (pace, left))
-            pace = 2 * pace if high is None else low[0] + (high[0] - low[0]) * min(0.9, max(0.1, -low[1] / (high[1] - low[1])))
+            pace = 2 * pace if high is None else low[0] + (high[0] - low[0]) * min(0.9, max(0.1, -low[1] / max(high[1] - low[1], 1e-300)))
         else:
             break
         steps, now, second, top = further, after, moved, highest
@@ -162,9 +199,9 @@ def solve_rates(rows: DataFrame, targets: list[float], iterations: int = 400, cl
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_tokens (words), the four posteriors and rate, the copies to take on average.
+    """One row per input row: doc_id, n_words, the four posteriors and rate, the copies to take on average.
 
-    Targets are shares of the corpus's own token total. Null or empty texts have no tokens and the posteriors of no
+    Targets are shares of the corpus's own words, which stand for its tokens. Texts are taken whole, however long. Null or empty texts have no tokens and the posteriors of no
     evidence. Null ids and repeated rows are rated like all others. If targets can't be reached with rates of 0 or
     more, the totals are as near as any rates bring them, within 1e-6 of the targets' sum; else a warning says what is missing.
     An empty table gives no rows.
@@ -173,7 +210,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     classifier = fit_classifier(slim, labels)
     rows = written(classifier.posteriors(slim).drop("text"), "mixing-posteriors")
     steps, start, _ = rates_for(rows, targets)
-    return rows.select("doc_id", F.col("_tokens").alias("n_tokens"), *[F.col(f"_p{d}").alias(name) for d, name in enumerate(DOMAINS)], rate_column(steps, start).alias("rate"))
+    return rows.select("doc_id", F.col("_tokens").alias("n_words"), *[F.col(f"_p{d}").alias(name) for d, name in enumerate(DOMAINS)], rate_column(steps, start).alias("rate"))
 
 
 def rates_for(rows: DataFrame, targets: dict[str, float]) -> tuple[list[list[float]], list[float], list[float]]:

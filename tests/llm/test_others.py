@@ -1,5 +1,6 @@
 import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
@@ -112,7 +113,7 @@ def dice(a, b):
 
 def test_licences_are_brute_force(spark):
     mit = licences.TEMPLATES["MIT"]
-    texts = ["Prose before.\nReleased under the MIT License.\nMore prose here.", "released UNDER the mit license", mit, " ".join(mit.split()).replace("charge", "cost"), "\n".join(mit.split("\n")) + "\n\nOther words.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0", None, "", "one", "\n\n\n", "Released under the MIT License. " * 500, "This work is licensed under the GNU General Public License, version 3."]
+    texts = ["Prose before.\nReleased under the MIT License.\nMore prose here.", "released UNDER the mit license", mit, " ".join(mit.split()).replace("charge", "cost"), "\n".join(mit.split("\n")) + "\n\nOther words.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0", None, "", "one", "\n\n\n", "Released under the MIT License. " * 500, "This work is licensed under the GNU General Public License, version 3.", "A file.\n\n" + mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE") + "\n\n" + "other words of the file " * 60, licences.TEMPLATES["BSD-3-Clause"].replace(" 2. ", "\n\n2. ").replace(" THIS", "\n\nTHIS") + "\n\nint main", "long " * 200_000 + "\nReleased under the MIT License."]
     docs = spark.createDataFrame([(k, t, 0.1, "clash") for k, t in enumerate(texts)] + [(None, "Released under the MIT License.", 0.0, "")], "doc_id long, text string, dice double, unit string")
     got = {(r.doc_id, r.unit, r.unit_no, r.licence): r.dice for r in licences.licence_scan(docs).collect()}
     want = {}
@@ -123,13 +124,14 @@ def test_licences_are_brute_force(spark):
 
         paragraphs = re.split(r"\n[ \t\r]*\n", t)
         units = [("line", n, x) for n, x in enumerate(t.split("\n"))] + [("paragraph", n, x) for n, x in enumerate(paragraphs) if "\n" in x] + ([("text", 0, t)] if len(paragraphs) > 1 else [])
+        units += [(f"paragraphs {w}", n, "\n\n".join(paragraphs[n : n + w])) for w in licences.RUNS for n in range(len(paragraphs) - w + 1) if len(paragraphs) > w]
         for kind, n, part in units:
             grams = set(licences.template_bigrams(part))
             for name, template in licences.TEMPLATES.items():
                 d = dice(grams, set(licences.template_bigrams(template)))
                 if d >= 0.8:
                     want[(k, kind, n, name)] = d
-    assert got == pytest.approx(want) and {x[3] for x in want} >= {"MIT", "MIT notice", "CC-BY-NC-4.0 notice", "GPL-3.0 notice"}
+    assert got == pytest.approx(want) and {x[3] for x in want} >= {"MIT", "MIT notice", "CC-BY-NC-4.0 notice", "GPL-3.0 notice", "BSD-3-Clause"} and {x[1] for x in want} >= {"paragraphs 3"}
     assert licences.licence_scan(docs.limit(0)).count() == 0
 
 
@@ -154,10 +156,10 @@ def test_rates_reach_the_targets(spark):
     rows = mixing.mix(docs, labels).collect()
     assert len(rows) == docs.count()
     words = {r.doc_id: len([w for w in (r.text or "").replace("\x0b", " ").split() if w]) for r in docs.collect()}
-    assert all(r.n_tokens == words[r.doc_id] and r.rate >= 0 and math.isclose(sum(r[d] for d in mixing.DOMAINS), 1, abs_tol=1e-9) for r in rows)
-    total = sum(r.n_tokens for r in rows)
+    assert all(r.n_words == words[r.doc_id] and r.rate >= 0 and math.isclose(sum(r[d] for d in mixing.DOMAINS), 1, abs_tol=1e-9) for r in rows)
+    total = sum(r.n_words for r in rows)
     for d in mixing.DOMAINS:
-        assert sum(r.rate * r.n_tokens * r[d] for r in rows) == pytest.approx(mixing.TARGETS[d] * total, rel=1e-4)
+        assert sum(r.rate * r.n_words * r[d] for r in rows) == pytest.approx(mixing.TARGETS[d] * total, rel=1e-4)
 
 
 def test_unreachable_targets_end_at_a_least_squares_point(spark):
@@ -268,3 +270,139 @@ def test_pipeline_stages(spark):
     assert mixed.columns == docs.columns and all(math.floor(x) <= copies.get(k, 0) <= math.floor(x) + 1 for k, x in rates.items())
     last = pipeline.run(spark, DATA)
     assert last.filter("not lossless").count() == 0 and last.count() > 100
+
+
+def test_posteriors_are_brute_force(spark):
+    import xxhash
+
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = mixing.fit_classifier(docs, labels)
+    assert model.held_out > 5 and model.log_loss < 1.4 and 0 <= model.accuracy <= 1
+    bucket = lambda w: (xxhash.xxh64(w.lower().encode(), seed=42).intdigest() ^ 1 << 63) - (1 << 63)
+    words = {r.doc_id: [bucket(w) % mixing.BUCKETS for w in re.split("[\\x20\\x09-\\x0D]+", r.text or "") if w] for r in docs.collect()}
+    held = {r.id for r in labels.select(F.col("doc_id").alias("id"), (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)), F.lit(4)) == 0).alias("h")).collect() if r.h}
+    domain = {r.doc_id: (1 - r.quality) * 2 + r.toxic for r in labels.collect() if r.doc_id in words}
+    table, seen = np.zeros((mixing.BUCKETS, 4)), np.zeros(4)
+    for k, d in domain.items():
+        if k not in held:
+            np.add.at(table[:, d], words[k], 1)
+    for r in labels.collect():
+        if r.doc_id not in held:
+            seen[(1 - r.quality) * 2 + r.toxic] += 1
+    share = np.log((table + 1) / (table.sum(axis=0) + mixing.BUCKETS))
+    empty = table.sum(axis=0) == 0
+    share[:, empty] = np.log((table.sum(axis=1) + 1) / (table.sum() + mixing.BUCKETS))[:, None]
+    prior = np.log((seen + 1) / (seen.sum() + 4))
+
+    def chances(k, evidence):
+        s = prior + share[words[k]].sum(axis=0) / max(1, len(words[k]) / evidence)
+        e = np.exp(s - s.max())
+        return e / e.sum()
+
+    for r in model.posteriors(docs).collect():
+        assert np.allclose([r[f"_p{d}"] for d in range(4)], chances(r.doc_id, model.evidence), atol=1e-5)
+    loss = {e: np.mean([-np.log(max(chances(k, e)[d], 1e-12)) for k, d in domain.items() if k in held and words[k]]) for e in mixing.EVIDENCE}
+    assert model.log_loss == pytest.approx(min(loss.values()), abs=1e-4)
+
+
+def test_rates_are_the_same_for_any_partitioning(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    got = [{r.doc_id: r.rate for r in mixing.mix(docs.repartition(n), labels).collect()} for n in (1, 7)]
+    assert got[0] == got[1]
+
+
+def test_mixing_takes_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "good words " * 300_000), (2, "poor words"), (3, "good")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(8)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in mixing.mix(docs, labels).collect()}
+    assert got[1].n_words == 600_000 and all(math.isclose(sum(r[d] for d in mixing.DOMAINS), 1, abs_tol=1e-9) for r in got.values())
+
+
+def test_kernel_classifier_is_brute_force():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    letters = {"a": "abcdefgh", "b": "efghijklm", "c": "lmnopqrs"}
+    texts = [(lang, " ".join("".join(rng.choice(list(alphabet), rng.integers(2, 7))) for _ in range(12))) for lang, alphabet in letters.items() for _ in range(20)]
+
+    def grams(text):
+        seen = [2 + ord(c) - 97 if "a" <= c <= "z" else 1 for c in text.lower()]
+        out = set()
+        for k in range(len(seen)):
+            for n in (1, 2, 3, 4):
+                if k + n <= len(seen):
+                    value = 0
+                    for m, code in enumerate(seen[k : k + n], 1):
+                        value = (value * 0x165667B1 + code * 2654435761 + m) % 2**32
+                    value ^= value >> 15
+                    out.add(value * (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)[n - 1] % 2**32 >> 16)
+        return out
+
+    packed, labels, sets = [], [lang for lang, _ in texts], [grams(t) for _, t in texts]
+    for row, bits in langid.presence(pa.array([t for _, t in texts])):
+        assert set(np.flatnonzero(bits).tolist()) == sets[row]
+        packed.append(np.packbits(bits).tobytes())
+    model = langid.solve(packed, labels, landmarks=30, ridge=1e-3)
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    marks = [sets[g * 20 + k] for k in range(10) for g in range(3)]
+    gram = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(gram)
+    good = values > 1e-8 * values[-1]
+    half = vectors[:, good] / np.sqrt(values[good])
+    x = np.array([[kernel(a, b) for b in marks] for a in sets]) @ half
+    y = np.where(np.array(labels)[:, None] == np.array(["a", "b", "c"]), 1.0, -1.0)
+    design = np.hstack([x, np.ones((len(x), 1))])
+    free = np.diag([1e-3 * len(x)] * x.shape[1] + [0.0])
+    beta = np.linalg.solve(design.T @ design + free, design.T @ y)
+    fresh = [" ".join("".join(rng.choice(list(alphabet), 5)) for _ in range(8)) for alphabet in letters.values()]
+    want = np.hstack([np.array([[kernel(grams(t), b) for b in marks] for t in fresh]) @ half, np.ones((3, 1))]) @ beta
+    rows = np.array([bits for _, bits in langid.presence(pa.array(fresh))]).astype(np.float32)
+    got = rows @ model.weights / np.sqrt(rows.sum(axis=1, keepdims=True)) + model.bias
+    assert np.allclose(got, want, atol=2e-3) and got.argmax(axis=1).tolist() == [0, 1, 2]
+
+
+def test_ties_between_languages_go_to_the_first():
+    model = langid.Model(["aa", "bb"], np.zeros((1 << langid.BITS, 2), np.float32), np.array([0.5, 0.5], np.float32))
+    top, score = langid.scores(model, np.ones((1, 1 << langid.BITS), bool))
+    assert top.tolist() == [0] and score.tolist() == [0.5]
+
+
+def test_other_readers_can_follow_revisits(spark):
+    import gzip
+
+    same, hot = "shared payload " * 20, "hot payload " * 20
+    rows = [(k, f"http://x/{k}", same if k % 2 else hot, "", 0) for k in range(12)] + [(0, "http://x/again", hot, "", 0), (99, "u", "short", "", 0), (99, "u", "short", "", 0), (None, None, "nobody's", "", 0)]
+    manifest = warc.write_warc(warc.chunk_rows(spark.createDataFrame(rows, PAGES).repartition(3)), new_folder(spark, "test-warc"), archive=600)
+    heads = []
+    for path in [r.path for r in manifest.collect()]:
+        data = gzip.open(path.removeprefix("file://")).read()
+        assert data.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+        while data:
+            head, _, data = data.partition(b"\r\n\r\n")
+            fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+            data = data[int(fields["Content-Length"]) + 4 :]
+            heads.append(fields)
+    ids = [h["WARC-Record-ID"] for h in heads]
+    responses = {h["WARC-Record-ID"]: h for h in heads if h["WARC-Type"] == "response"}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(ids) == len(set(ids)) and len(responses) + len(revisits) == len(rows) and manifest.count() > 3
+    assert {h["X-Refers-To-Page-ID"] for h in revisits if "WARC-Refers-To" not in h} == {"0"}
+    for h in (h for h in revisits if h["X-Refers-To-Page-ID"] != "0"):
+        to = responses[h["WARC-Refers-To"]]
+        assert to["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and to["X-Page-ID"] == h["X-Refers-To-Page-ID"]
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicate_stage_of_repeated_ids(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame([(1, "b text", None), (1, "a text", "en"), (2, "other words", "en"), (None, "x", "en"), (None, "x", "en")], "doc_id long, text string, lang string")
+    rows = [sorted(map(tuple, pipeline.near_duplicates(spark, docs.repartition(n), DATA).collect()), key=str) for n in (1, 4)]
+    assert rows[0] == rows[1] and [r for r in rows[0] if r[0] == 1] == [(1, "a text", "en")] and len(rows[0]) == 4
