@@ -32,23 +32,34 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by the n-gram Jaccard join, that with the smallest id stays.
 
-    Of rows that repeat an id one stays, if any of the group does; rows without an id all stay.
+    Of rows that repeat an id the least one stays (by its columns in order, nulls last), if any of the group does; rows
+    without an id all stay. Texts without words are alike to nothing. An empty table gives no rows.
     """
     groups = written(ngram_join.ngram_join(docs), "pipeline-groups")
     gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    # each column as (is null, value), so that nulls come last
+    row = F.struct(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`").alias("v")).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    least = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.min(row).alias("_row"))
+    return least.select(*[F.col(f"_row.c{k}.v").alias(c) for k, c in enumerate(docs.columns)]).unionByName(kept.filter("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says: rates bring expected tokens of the labelled domains to the target weights."""
+    """Each document as often as its rate says: rates bring expected words of the labelled domains to the target weights.
+
+    Null and empty texts have no words; their rates are those of no evidence. Rows without an id, and repeated rows, are
+    rated like all others, and rows that agree in id and text are taken equally often. An empty table gives no rows.
+    """
     return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, hashes of the ids and of the decoded text, whether it is the text, and the ids."""
+    """doc_id, n_tokens, hashes of the ids and of the decoded text, whether it is the text, and the ids.
+
+    A row for each row, whatever its id; null and empty texts have no ids. An empty table gives no rows.
+    """
     return tokens.bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
