@@ -63,8 +63,8 @@ def least_hashes(values: np.ndarray) -> np.ndarray:
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """A bit row of at least four bits a shingle, to a power of two: the bits of the set's shingles are set."""
-    width = 1 << min(20, max(8, int(4 * len(values) - 1).bit_length()))
+    """A bit row of at least two bits a shingle, to a power of two: the bits of the set's shingles are set."""
+    width = 1 << min(20, max(8, int(2 * len(values) - 1).bit_length()))
     bits = np.zeros(width, bool)
     bits[(values >> np.uint64(20)).astype(np.int64) & (width - 1)] = True
     return np.packbits(bits).tobytes()
@@ -452,9 +452,13 @@ def _links(queries: DataFrame, members: DataFrame, bits: DataFrame, texts: DataF
     n = partitions(queries.sparkSession)
     by_block = lambda df: df.repartition(n, "block").sortWithinPartitions("block")
     asked = written(members.join(queries.select("block").distinct(), "block", "left_semi"), "ngram-asked")
+    some = written(queries.select("id").unionByName(asked.select("id")).distinct(), "ngram-some")
+    bits = written(rows_with(bits, some, "id", exact=False), "ngram-bits")
     unions = written(by_block(asked.join(bits, "id").select("block", "n", "bits")).mapInArrow(_united, "block long, low long, bits binary"), "ngram-unions")
     met = _met(unions.withColumnRenamed("low", "n"), queries.join(bits, "id").select("block", "id", "n", "bits"), queries)
     close = written(met.mapInArrow(_qualified(percent), "block long, id long"), "ngram-close")
+    dropped(some, bits, unions)
+    released(queries.sparkSession)
     opened = written(asked.join(close.select("block").distinct(), "block", "left_semi"), "ngram-opened")
     needed_ids = written(close.select("id").unionByName(opened.select("id")).distinct(), "ngram-needed")
     sets = rows_with(texts, needed_ids, "id", exact=False).mapInArrow(_sets(words), "id long, key long, n long, shingles binary")
@@ -462,7 +466,7 @@ def _links(queries: DataFrame, members: DataFrame, bits: DataFrame, texts: DataF
     groups = written(by_block(opened.join(sets, "id").select("block", "id", "shingles")).mapInArrow(_stored, _GROUP), "ngram-groups")
     asking = close.join(sets, "id").select("block", "id", F.col("shingles").alias("bytes"))
     links = written(_met(groups, asking, close).mapInArrow(_opened(percent), "a long, b long"), "ngram-links")
-    dropped(asked, unions, close, opened, needed_ids, sets, groups)
+    dropped(asked, close, opened, needed_ids, sets, groups)
     released(queries.sparkSession)
     return links
 
@@ -490,9 +494,10 @@ def prepared(texts: DataFrame, words: int = 5, percent: int = 75) -> Prepared:
     spark = texts.sparkSession
     signatures = written(texts.mapInArrow(_signatures(words), _SIGNATURES), "ngram-signatures")
     common, counts = _common(signatures)
-    rows = signatures.filter("kind = 0").select("id", "n", "k1", "k2", "bands", "bits")
+    rows = written(signatures.filter("kind = 0").select("id", "n", "k1", "k2"), "ngram-rows")
     known = rows.filter("n > 0 and id is not null")
-    classes = written(known.groupBy("n", "k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "ngram-classes")
+    classes = written(signatures.filter("kind = 0 and n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "ngram-classes")
+    dropped(signatures)
     repeated = written(classes.filter("copies > 1").drop("bands", "bits"), "ngram-repeated")
     copies = written(hot_join(known.select("id", "n", "k1", "k2"), repeated, ["n", "k1", "k2"]).filter("first < id").select("id", "first"), "ngram-copies")
 
@@ -530,7 +535,7 @@ def prepared(texts: DataFrame, words: int = 5, percent: int = 75) -> Prepared:
     queries = written(met.filter(other & (F.col("n") >= F.col("least")) & (100 * F.col("high") >= percent * F.col("n"))).select("block", "id").distinct(), "ngram-queries")
     dropped(matrix, documents, crowds, linked, follows)
     released(spark)
-    return Prepared(rows.select("id", "n"), copies, stars, blocks.select("block", "id"), queries, bits, [signatures, classes, repeated, copies, stars, blocks, queries])
+    return Prepared(rows.select("id", "n"), copies, stars, blocks.select("block", "id"), queries, bits, [rows, classes, repeated, copies, stars, blocks, queries])
 
 
 def ngram_join(docs: DataFrame, words: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
