@@ -16,14 +16,14 @@ multiples of a small unit, so they don't depend on how the rows are partitioned.
 from __future__ import annotations
 
 import warnings
-from math import log
+from math import ceil, log, log2
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.shared import written
+from loomframe.llm.shared import dropped, written
 
 BUCKETS = 4096
 DOMAINS = ("good_clean", "good_toxic", "poor_clean", "poor_toxic")
@@ -49,14 +49,16 @@ def _evidence(weights: list[list[float]]) -> Column:
     return F.aggregate("_buckets", start, lambda s, b: F.struct(*[(s[f"s{d}"] + F.get(table, b)).alias(f"s{d}") for d, table in enumerate(tables, 1)]))
 
 
-def _posteriors(priors: list[float], evidence: int) -> list[Column]:
-    """Probabilities of the domains from _s (against the first domain) and _tokens."""
+def _with_posteriors(rows: DataFrame, priors: list[float], evidence: Column) -> DataFrame:
+    """``rows`` with _p, an array of the domains' probabilities, from _s (against the first domain) and _tokens.
+
+    Odds and their exponents are columns of arrays, so that no plan holds the evidence's tables more than once.
+    """
     part = F.greatest(F.lit(1.0), F.col("_tokens") / evidence)
-    odds = [F.lit(priors[0])] + [F.lit(priors[d]) + F.col(f"_s.s{d}") / part for d in range(1, len(priors))]
-    top = F.greatest(*odds)
-    parts = [F.exp(x - top) for x in odds]
-    total = sum(parts[1:], parts[0])
-    return [x / total for x in parts]
+    odds = F.array(F.lit(priors[0]), *[F.lit(priors[d]) + F.col(f"_s.s{d}") / part for d in range(1, len(priors))])
+    scaled = rows.withColumn("_odds", odds).withColumn("_e", F.transform("_odds", lambda x: F.exp(x - F.array_max("_odds"))))
+    total = F.aggregate("_e", F.lit(0.0), lambda s, x: s + x)
+    return scaled.withColumn("_sum", total).withColumn("_p", F.transform("_e", lambda x: x / F.col("_sum"))).drop("_odds", "_e", "_sum")
 
 
 class Classifier(NamedTuple):
@@ -77,8 +79,8 @@ class Classifier(NamedTuple):
 
     def posteriors(self, docs: DataFrame, text_column: str = "text") -> DataFrame:
         """``docs`` with _tokens and _p0 to _p3, the posteriors of DOMAINS."""
-        split = self.evidenced(docs, text_column)
-        return split.withColumns({f"_p{d}": p for d, p in enumerate(_posteriors(self.priors, self.evidence))}).drop("_s")
+        split = _with_posteriors(self.evidenced(docs, text_column), self.priors, F.lit(self.evidence))
+        return split.withColumns({f"_p{d}": F.get("_p", d) for d in range(len(DOMAINS))}).drop("_s", "_p")
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = 20000, id_column: str = "doc_id", text_column: str = "text") -> Classifier:
@@ -109,14 +111,16 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = 20000, id_c
     documents = [seen[f"d{d}"] for d in range(len(DOMAINS))]
     priors = [round(log((x + 1) / (sum(documents) + len(DOMAINS))), 9) for x in documents]
     model = Classifier(weights, priors)
-    true = lambda p: F.get(F.array(*p), F.col("_domain"))
-    held = model.evidenced(labelled.filter("_held"), "_text").filter("_tokens > 0")
-    chances = {e: _posteriors(priors, e) for e in EVIDENCE}
-    scored = held.agg(F.count("*").alias("n"), *[F.avg(-F.log(F.greatest(true(p), F.lit(1e-12)))).alias(f"loss{e}") for e, p in chances.items()], *[F.avg((true(p) == F.greatest(*p)).cast("double")).alias(f"hit{e}") for e, p in chances.items()], *[F.avg(F.greatest(*p)).alias(f"sure{e}") for e, p in chances.items()]).first()
-    if not scored["n"]:
+    held = model.evidenced(labelled.filter("_held"), "_text").filter("_tokens > 0").select("_domain", "_tokens", "_s")
+    held = written(held, "mixing-held-out")
+    tried = _with_posteriors(held.withColumn("_evidence", F.explode(F.array(*map(F.lit, EVIDENCE)))), priors, F.col("_evidence"))
+    tried = tried.select("_evidence", F.get("_p", F.col("_domain")).alias("true"), F.array_max("_p").alias("most"))
+    rows = tried.groupBy("_evidence").agg(F.count("*").alias("n"), F.avg(-F.log(F.greatest(F.col("true"), F.lit(1e-12)))).alias("loss"), F.avg((F.col("true") == F.col("most")).cast("double")).alias("hit"), F.avg("most").alias("sure")).collect()
+    dropped(held)
+    if not rows:
         return model
-    best = min(EVIDENCE, key=lambda e: (round(scored[f"loss{e}"], 9), e))
-    return model._replace(evidence=best, held_out=scored["n"], log_loss=scored[f"loss{best}"], accuracy=scored[f"hit{best}"], mean_chance=scored[f"sure{best}"])
+    best = min(rows, key=lambda r: (round(r["loss"], 9), r["_evidence"]))
+    return model._replace(evidence=best["_evidence"], held_out=best["n"], log_loss=best["loss"], accuracy=best["hit"], mean_chance=best["sure"])
 
 
 def rate_column(steps: list[list[float]], start: list[float]) -> Column:
@@ -134,21 +138,23 @@ def solve_rates(rows: DataFrame, targets: list[float], iterations: int = 400, cl
     n = len(targets)
     p = [F.col(f"_p{d}") for d in range(n)]
     # sums of whole numbers are the same in any order: each term is split to a high and a low part, both whole
-    size = (rows.agg(F.sum("_tokens").alias("n")).first()["n"] or 0).bit_length()
-    high_unit, low_unit = 2.0 ** max(-10, min(30, 42 - size)), 2.0**28
+    size, low_unit = rows.agg(F.sum("_tokens").alias("n")).first()["n"] or 0, 2.0**28
 
-    def parts(name: str, x: Column) -> list[Column]:
+    def parts(name: str, x: Column, high_unit: float) -> list[Column]:
         scaled = x * high_unit
         high = F.round(scaled)
         return [F.sum(high.cast("long")).alias(name), F.sum(F.round((scaled - high) * low_unit).cast("long")).alias(f"{name}_low")]
 
     def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray, float]:
+        # no rate is over the greatest weight, so no sum is over 2^60 units
+        most = max(1.0, *(sum(x) for x in zip(start, *steps)))
+        unit = 2.0 ** min(30, 60 - ceil(log2(size * most + 1)))
         got = rows.withColumn("_r", rate_column(steps, start)).agg(
-            *[c for d in range(n) for c in parts(f"s{d}", F.col("_r") * F.col("_tokens") * p[d])],
-            *[c for d in range(n) for e in range(d, n) for c in parts(f"m{d}_{e}", F.when(F.col("_r") > 0, F.col("_tokens") * p[d] * p[e]))],
+            *[c for d in range(n) for c in parts(f"s{d}", F.col("_r") * F.col("_tokens") * p[d], unit)],
+            *[c for d in range(n) for e in range(d, n) for c in parts(f"m{d}_{e}", F.when(F.col("_r") > 0, F.col("_tokens") * p[d] * p[e]), unit)],
             F.max(F.when(F.col("_tokens") > 0, F.col("_r"))).alias("top"),
         ).first()
-        whole = lambda name: ((got[name] or 0) + (got[f"{name}_low"] or 0) / low_unit) / high_unit
+        whole = lambda name: ((got[name] or 0) + (got[f"{name}_low"] or 0) / low_unit) / unit
         second = np.array([[whole(f"m{min(d, e)}_{max(d, e)}") for e in range(n)] for d in range(n)])
         return np.array([whole(f"s{d}") for d in range(n)]), second, got["top"] or 0.0
 
