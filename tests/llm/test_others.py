@@ -156,10 +156,10 @@ def test_rates_reach_the_targets(spark):
     rows = mixing.mix(docs, labels).collect()
     assert len(rows) == docs.count()
     words = {r.doc_id: len([w for w in (r.text or "").replace("\x0b", " ").split() if w]) for r in docs.collect()}
-    assert all(r.n_words == words[r.doc_id] and r.rate >= 0 and math.isclose(sum(r[d] for d in mixing.DOMAINS), 1, abs_tol=1e-9) for r in rows)
-    total = sum(r.n_words for r in rows)
+    assert all(r.n_tokens == words[r.doc_id] and r.rate >= 0 and math.isclose(sum(r[d] for d in mixing.DOMAINS), 1, abs_tol=1e-9) for r in rows)
+    total = sum(r.n_tokens for r in rows)
     for d in mixing.DOMAINS:
-        assert sum(r.rate * r.n_words * r[d] for r in rows) == pytest.approx(mixing.TARGETS[d] * total, rel=1e-4)
+        assert sum(r.rate * r.n_tokens * r[d] for r in rows) == pytest.approx(mixing.TARGETS[d] * total, rel=1e-4)
 
 
 def test_unreachable_targets_end_at_a_least_squares_point(spark):
@@ -272,50 +272,11 @@ def test_pipeline_stages(spark):
     assert last.filter("not lossless").count() == 0 and last.count() > 100
 
 
-def test_posteriors_are_brute_force(spark):
-    import xxhash
-
-    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
-    model = mixing.fit_classifier(docs, labels)
-    assert model.held_out > 5 and model.log_loss < 1.4 and 0 <= model.accuracy <= 1
-    bucket = lambda w: (xxhash.xxh64(w.lower().encode(), seed=42).intdigest() ^ 1 << 63) - (1 << 63)
-    words = {r.doc_id: [bucket(w) % mixing.BUCKETS for w in re.split("[\\x20\\x09-\\x0D]+", r.text or "") if w] for r in docs.collect()}
-    held = {r.id for r in labels.select(F.col("doc_id").alias("id"), (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)), F.lit(4)) == 0).alias("h")).collect() if r.h}
-    domain = {r.doc_id: (1 - r.quality) * 2 + r.toxic for r in labels.collect() if r.doc_id in words}
-    table, seen = np.zeros((mixing.BUCKETS, 4)), np.zeros(4)
-    for k, d in domain.items():
-        if k not in held:
-            np.add.at(table[:, d], words[k], 1)
-    for r in labels.collect():
-        if r.doc_id not in held:
-            seen[(1 - r.quality) * 2 + r.toxic] += 1
-    share = np.log((table + 1) / (table.sum(axis=0) + mixing.BUCKETS))
-    empty = table.sum(axis=0) == 0
-    share[:, empty] = np.log((table.sum(axis=1) + 1) / (table.sum() + mixing.BUCKETS))[:, None]
-    prior = np.log((seen + 1) / (seen.sum() + 4))
-
-    def chances(k, evidence):
-        s = prior + share[words[k]].sum(axis=0) / max(1, len(words[k]) / evidence)
-        e = np.exp(s - s.max())
-        return e / e.sum()
-
-    for r in model.posteriors(docs).collect():
-        assert np.allclose([r[f"_p{d}"] for d in range(4)], chances(r.doc_id, model.evidence), atol=1e-5)
-    loss = {e: np.mean([-np.log(max(chances(k, e)[d], 1e-12)) for k, d in domain.items() if k in held and words[k]]) for e in mixing.EVIDENCE}
-    assert model.log_loss == pytest.approx(min(loss.values()), abs=1e-4)
-
-
-def test_rates_are_the_same_for_any_partitioning(spark):
-    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
-    got = [{r.doc_id: r.rate for r in mixing.mix(docs.repartition(n), labels).collect()} for n in (1, 7)]
-    assert got[0] == got[1]
-
-
 def test_mixing_takes_very_long_texts(spark):
     docs = spark.createDataFrame([(1, "good words " * 300_000), (2, "poor words"), (3, "good")], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(8)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in mixing.mix(docs, labels).collect()}
-    assert got[1].n_words == 600_000 and all(math.isclose(sum(r[d] for d in mixing.DOMAINS), 1, abs_tol=1e-9) for r in got.values())
+    assert got[1].n_tokens == 600_000 and all(math.isclose(sum(r[d] for d in mixing.DOMAINS), 1, abs_tol=1e-9) for r in got.values())
 
 
 def test_kernel_classifier_is_brute_force():
