@@ -90,12 +90,14 @@ def quantize(v: Column, step: int) -> Column:
     return F.signum(v.cast("double")).cast("long") * F.floor((F.abs(v) * 2 + step) / (2 * step)).cast("long")
 
 
+_SPREAD = [sum((v >> k & 1) << 3 * k for k in range(5)) for v in range(32)]
+
+
 def spread_bits(v: Column) -> Column:
-    """Ten bits, two zero bits after each."""
-    out = v.cast("long").bitwiseAND(0x3FF)
-    for shift, mask in ((16, 0x30000FF), (8, 0x300F00F), (4, 0x30C30C3), (2, 0x9249249)):
-        out = out.bitwiseOR(F.shiftleft(out, shift)).bitwiseAND(mask)
-    return out
+    """Ten bits, two zero bits after each: five at a time by a table, so that expressions that nest this stay small."""
+    table = F.expr(f"array({', '.join(f'{x}L' for x in _SPREAD)})")
+    five = lambda shift: F.get(table, F.shiftright(v.cast("long"), shift).bitwiseAND(31).cast("int"))
+    return five(0).bitwiseOR(F.shiftleft(five(5), 15))
 
 
 def morton(x: Column, y: Column, z: Column) -> Column:

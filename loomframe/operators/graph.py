@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import count
+from itertools import accumulate, count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,18 @@ def chain(df: DataFrame, keys: list[str], order: list[str], node: str) -> DataFr
     return df.select(*keys, F.col(node).alias("src"), F.lead(node).over(w).alias("dst")).filter("dst is not null")
 
 
+def bounds_below(bounds: list[float], key: Column) -> Column:
+    """How many of the bounds (ascending) are less than the key, 0 for null: the part of 16 first, then the place in it.
+
+    The key's expression is evaluated once, whatever the number of bounds: a lambda names its value.
+    """
+    parts = F.array(*[F.array(*map(F.lit, bounds[k : k + 16])).cast("array<double>") for k in range(0, len(bounds) + 1, 16)])
+    ends = F.array(*map(F.lit, bounds[15::16])).cast("array<double>")
+    less = lambda among, k: F.size(F.filter(among, lambda b: b < k))
+    found = lambda k: F.get(F.transform(F.array(less(ends, k)), lambda p: p * 16 + less(F.get(parts, p), k)), 0)
+    return F.get(F.transform(F.array(key), found), 0)
+
+
 def positions(df: DataFrame, key: str, ties: list[str], buckets: int = 256, name: str = "position") -> DataFrame:
     """Rows numbered from 0 by a numeric key, without a task that sorts all of them.
 
@@ -71,12 +83,10 @@ def positions(df: DataFrame, key: str, ties: list[str], buckets: int = 256, name
     driver. Rows of one key stay together, so a key of many rows is one task's.
     """
     bounds = sorted(set(df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [k / buckets for k in range(1, buckets)], 0.5 / buckets)))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
-    parted = df.withColumn("_bucket", bucket)
-    before, total = {}, 0
-    for row in sorted(parted.groupBy("_bucket").agg(F.count("*").alias("n")).collect()):
-        before[row["_bucket"]], total = total, total + row["n"]
-    offset = F.try_element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_bucket")) if before else F.lit(0)
+    parted = df.withColumn("_bucket", bounds_below(bounds, F.col(key)))
+    sizes = {row["_bucket"]: row["n"] for row in parted.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
+    before = [0, *accumulate(sizes.get(b, 0) for b in range(len(bounds)))]
+    offset = F.get(F.array(*map(F.lit, before)), F.col("_bucket"))
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, *ties)) - 1
     return parted.withColumn(name, offset.cast("long") + place).drop("_bucket")
 

@@ -106,3 +106,17 @@ def test_pipeline_is_composition(spark):
 def test_identifiers(spark):
     for raw, want in {"state-a": "State_a", "ok": "Ok", "__": "State___"}.items():
         assert value(spark, M.identifier(F.lit(raw))) == want
+
+
+def test_positions_evaluate_their_key_once(spark):
+    keys = [None, float("-inf"), -1.0, 0.0, 0.5, 1.0, 7.0, 15.0, 15.5, 16.0, 31.0, 32.0, 254.0, 300.0, float("inf"), float("nan")]
+    rows = spark.createDataFrame([(k,) for k in keys], "k double")
+    for n in (0, 1, 15, 16, 17, 32, 255):
+        bounds = [float(b) for b in range(n)]
+        got = [r.n for r in rows.select(G.bounds_below(bounds, F.col("k")).alias("n")).collect()]
+        assert got == [0 if k is None else n if k != k else sum(b < k for b in bounds) for k in keys]
+    spread = spark.range(1024).select("id", M.spread_bits(F.col("id")).alias("s"), M.spread_bits(F.col("id") + 1024).alias("t")).collect()
+    assert all(r.s == r.t == sum((r.id >> k & 1) << 3 * k for k in range(10)) for r in spread)
+    # the key stands in the plan a few times, not once a bound or once a step of the spread
+    plan = G.positions(spark.range(1000).select(M.morton(*[F.col("id") + k for k in (0, 1, 2)]).alias("m"), "id"), "m", ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("id#") < 60
