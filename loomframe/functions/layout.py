@@ -45,11 +45,15 @@ def signed_exp_golomb(value: Column) -> Column:
 
 
 def bytes_of_bits(bits: Column) -> Column:
-    """The bits as a binary, filled up with zeros to whole bytes."""
-    whole = F.floor((F.length(bits) + 7) / 8).cast("int")
-    padded = F.rpad(bits, whole * 8, F.lit("0"))
-    digits = F.transform(F.sequence(F.lit(0), whole - 1), lambda k: F.lpad(F.conv(F.substr(padded, k * 8 + 1, F.lit(8)), 2, 16), 2, F.lit("0")))
-    return F.unhex(F.array_join(digits, ""))
+    """The bits as a binary, filled up with zeros to whole bytes. Their expression is evaluated once: a lambda names its value."""
+
+    def packed(b: Column) -> Column:
+        words = F.greatest(F.ceil(F.length(b) / 64), F.lit(1)).cast("int")
+        piece = lambda k: F.rpad(F.substr(b, k * 64 + 1, F.lit(64)), 64, F.lit("0"))
+        digits = F.transform(F.sequence(F.lit(0), words - 1), lambda k: F.lpad(F.conv(piece(k), 2, 16), 16, F.lit("0")))
+        return F.substring(F.unhex(F.array_join(digits, "")), F.lit(1), F.floor((F.length(b) + 7) / 8).cast("int"))
+
+    return F.get(F.transform(F.array(bits), packed), 0)
 
 
 def field(bits: Column, at: Column | int, n: Column | int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions import layout as L
 from loomframe.operators import timeline as T
-from loomframe.plans.registry import ORDER, events, query
+from loomframe.plans.registry import ORDER, dealt, events, query
 from loomframe.sources import containers as C
 from loomframe.sources import messages as R
 from loomframe.sources import sinks
@@ -189,7 +189,7 @@ def _sps(data: bytes):
 def pps_parse(t):
     k, s = F.col("p_partkey"), F.col("p_size")
     bits = F.concat(L.exp_golomb(k % 7), L.exp_golomb(k % 3), L.binary(s % 2, 1), F.lit("0"), L.exp_golomb(0), L.exp_golomb(k % 4), L.exp_golomb(s % 3), F.lit("000"), L.signed_exp_golomb(s % 25 - 12), L.signed_exp_golomb(F.lit(0)), L.signed_exp_golomb(k % 9 - 4), L.binary(k % 2, 1), F.lit("001"))
-    files = t("part").select(k.cast("string").alias("path"), F.unhex(F.concat(F.lit("68"), F.hex(L.bytes_of_bits(bits)))).alias("data"))
+    files = dealt(t("part"), "p_partkey").select(k.cast("string").alias("path"), F.unhex(F.concat(F.lit("68"), F.hex(L.bytes_of_bits(bits)))).alias("data"))
     return C.walked(files, _pps, R.PPS).select(F.col("path").cast("long").alias("p_partkey"), "pps_id", "sps_id", "cabac", "refs_l0", "refs_l1", "qp", "chroma_qp_offset", "deblocking_control")
 
 

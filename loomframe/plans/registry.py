@@ -31,3 +31,8 @@ def events(t, *more: str) -> DataFrame:
 
 def lines(t) -> DataFrame:
     return t("lineitem")
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt to as many tasks as there are cores: a file of a table may be one task's, however much is built from each row."""
+    return df.repartition(key)

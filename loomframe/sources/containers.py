@@ -27,28 +27,31 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("data"))
 
 
-def walked(df: DataFrame, walk: Callable[[bytes], Iterator[Row]], fields: str) -> DataFrame:
-    """One row for each frame that ``walk`` finds in ``data``, with the file's path."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("data").to_pylist()):
-                rows, size = [], 0
-                for row in walk(data or b""):
-                    rows.append({"path": path, **row})
-                    size += len(row.get("payload") or b"") + 64
-                    if size > 1 << 22:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                        rows, size = [], 0
-                if rows:
+def walked_batches(batches: Iterator[pa.RecordBatch], walk: Callable[[bytes], Iterator[Row]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of the frames that ``walk`` finds in (path, data), cut by bytes: many small files share a batch, a large one has several."""
+    rows, size = [], 0
+    for batch in batches:
+        for path, data in zip(batch.column("path"), batch.column("data")):
+            path, data = path.as_py(), data.as_py() or b""
+            size += 4 * len(data)  # rows may hold tables of any part of the file
+            for row in walk(data):
+                rows.append({"path": path, **row})
+                size += len(row.get("payload") or b"") + 256
+                if size > 1 << 22:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+
+def walked(df: DataFrame, walk: Callable[[bytes], Iterator[Row]], fields: str) -> DataFrame:
+    """One row for each frame that ``walk`` finds in ``data``, with the file's path."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     kind = _parse_datatype_string(f"path string, {fields}")
     schema = to_arrow_schema(kind)
-    return df.select("path", "data").mapInArrow(run, kind)
+    return df.select("path", "data").mapInArrow(lambda batches: walked_batches(batches, walk, schema), kind)
 
 
 # --- MP4

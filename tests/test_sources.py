@@ -1,6 +1,10 @@
 import random
 import struct
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from loomframe.functions import layout as L
 from loomframe.sources import containers as C
 from loomframe.sources import sinks
 
@@ -79,3 +83,30 @@ def test_text_sinks(spark):
     assert [r.value for r in sinks.ply_lines(points).orderBy("part").collect()][1] == "0.5 1.0 2.0"
     nodes, edges = spark.createDataFrame([(1, "a")], "id long, name string"), spark.createDataFrame([(1, 1)], "src long, dst long")
     assert sinks.graph_json(nodes, edges).count() == 2
+
+
+def test_small_files_share_a_batch():
+    schema = pa.schema([("path", pa.string()), ("n", pa.int32()), ("payload", pa.binary())])
+    files = pa.RecordBatch.from_pydict({"path": [str(k) for k in range(3000)], "data": [bytes([k % 7]) * (k % 7) for k in range(2998)] + [None, b"x" * 9_000_000]})
+    walk = lambda data: ({"n": k, "payload": data[k : k + 1_000_000]} for k in range(0, max(1, len(data)), 1_000_000))
+    got = list(C.walked_batches(iter([files, files]), walk, schema))
+    rows = [r for b in got for r in b.to_pylist()]
+    assert len(got) < 40 and len(rows) == 2 * (2999 + 9) and max(b.nbytes for b in got) < 6_000_000
+    assert all(r["payload"] == bytes([int(r["path"]) % 7]) * (int(r["path"]) % 7) for r in rows if int(r["path"]) < 2998)
+
+
+def test_bits_are_evaluated_once(spark):
+    bits = [None, ""] + [format(k * 2654435761 % (1 << 60), "b")[:n] for k, n in enumerate((1, 7, 8, 9, 31, 60), 7)] + ["01" * n for n in (31, 32, 33, 64, 65, 500)]
+    packed = L.bytes_of_bits(F.col("b"))
+    got = spark.createDataFrame([(b,) for b in bits], "b string").select("b", packed.alias("x"))
+    whole = lambda b: b.ljust(-(-len(b) // 8) * 8, "0")
+    assert all((r.b is None and r.x is None) or bytes(r.x) == bytes(int(whole(r.b)[k : k + 8], 2) for k in range(0, len(r.b), 8)) for r in got.collect())
+    plan = spark.range(9).select(L.bytes_of_bits(F.concat(L.binary(F.col("id"), 8), L.exp_golomb(F.col("id")))).alias("x"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("id#") < 6
+
+
+def test_parsed_rows_are_dealt_to_tasks(spark):
+    from loomframe.plans import catalogue
+
+    for name in ("pps_parse",):
+        assert "hashpartitioning" in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
