@@ -175,7 +175,7 @@ def probe_json(t):
 def sps_parse(t):
     k, s = F.col("p_partkey"), F.col("p_size")
     bits = F.concat(L.binary(66, 8), L.binary(0, 8), L.binary(30, 8), L.exp_golomb(k % 32), L.exp_golomb(0), L.exp_golomb(2), L.exp_golomb(s % 4), F.lit("0"), L.exp_golomb(s), L.exp_golomb(k % 50), F.lit("111"), L.exp_golomb(0), L.exp_golomb(k % 3), L.exp_golomb(0), L.exp_golomb(k % 5), F.lit("01"))
-    files = t("part").select(k.cast("string").alias("path"), F.unhex(F.concat(F.lit("67"), F.hex(L.bytes_of_bits(bits)))).alias("data"))
+    files = dealt(t("part"), "p_partkey").select(k.cast("string").alias("path"), F.unhex(F.concat(F.lit("67"), F.hex(L.bytes_of_bits(bits)))).alias("data"))
     return C.walked(files, _sps, R.SPS).select(F.col("path").cast("long").alias("p_partkey"), "sps_id", "profile", "level", "refs", "width", "height")
 
 
