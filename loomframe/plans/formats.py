@@ -233,7 +233,7 @@ def av1_sequence(t):
     size = F.concat(L.binary(10, 4), L.binary(9, 4), L.binary(s * 16, 11), L.binary(k % 1000, 10))
     colour = F.concat(L.binary(F.when(s % 3 == 0, 1).otherwise(0), 1), F.when(k % 2 == 0, F.concat(L.binary(s % 2, 1), F.lit("0"), F.when(s % 2 == 1, "0").otherwise("000"))).otherwise("000"))
     bits = F.concat(L.binary(k % 2, 3), F.lit("00" + "0" + "0"), operating, size, F.lit("0" + "100" + "0000" + "111" + "11" + "110" + "011"), colour, F.lit("10"))
-    found = C.walked(t("part").select(k.cast("string").alias("path"), L.bytes_of_bits(bits).alias("data")), _sequences, R.SEQUENCE)
+    found = C.walked(dealt(t("part"), "p_partkey").select(k.cast("string").alias("path"), L.bytes_of_bits(bits).alias("data")), _sequences, R.SEQUENCE)
     return found.select(F.col("path").cast("long").alias("p_partkey"), "profile", "level", "tier", "width", "height", "bit_depth", "mono", "order_hint_bits")
 
 
