@@ -52,7 +52,7 @@ def emulation(t):
     """Payloads with zeros between, written with emulation bytes and read without them; the zeros are taken out to compare."""
     zeros = F.col("props").cast("binary")
     escaped = F.unhex(F.regexp_replace(F.hex(zeros), "(..)", "$1" + "00000300"))
-    read = C.walked(t("events").select(F.col("event_id").cast("string").alias("path"), escaped.alias("data")), _without_emulation, "payload binary")
+    read = C.walked(dealt(t("events"), "event_id").select(F.col("event_id").cast("string").alias("path"), escaped.alias("data")), _without_emulation, "payload binary")
     plain = F.decode(F.unhex(F.regexp_replace(F.hex("payload"), "(..)000000", "$1")), "UTF-8")
     return read.select(F.col("path").cast("long").alias("event_id"), (F.octet_length("payload") / 4).cast("long").alias("n_bytes"), plain.alias("plain"))
 
@@ -215,7 +215,7 @@ def slice_headers(t):
     kind = F.when(key, L.exp_golomb(7)).otherwise(L.exp_golomb(5))
     bits = F.concat(L.exp_golomb(e % 100), kind, L.exp_golomb(0), L.binary(F.col("user_id") % 16, 4), F.when(key, L.exp_golomb(F.col("user_id") % 5)).otherwise(""), L.binary(e % 256, 8), F.when(key, F.lit("01")).otherwise(F.concat(override, changes, marks)), F.lit("1"))
     nal = F.unhex(F.concat(F.when(key, "65").otherwise("61"), F.hex(L.bytes_of_bits(bits))))
-    found = C.walked(t("events").select(e.cast("string").alias("path"), nal.alias("data")), _slices, R.SLICE)
+    found = C.walked(dealt(t("events"), "event_id").select(e.cast("string").alias("path"), nal.alias("data")), _slices, R.SLICE)
     listed = lambda c, text: F.array_join(F.transform(c, text), " ")
     pair, triple = lambda x: F.concat_ws(":", x["op"], x["n"]), lambda x: F.concat_ws(":", x["op"], x["n"], x["m"])
     return found.select(F.col("path").cast("long").alias("event_id"), "first_mb", "slice_type", "frame_num", "order", "idr_id", "refs_l0", listed("modifications", pair).alias("modifications"), listed("marking", triple).alias("marking"))
@@ -280,7 +280,7 @@ def ingest_commands(t):
     name = F.get(F.array(*map(F.lit, _COMMANDS)), (e % 6).cast("int"))
     number = F.concat(F.lit("00"), F.get(F.array(*map(F.lit, _DOUBLES)), (e % 5).cast("int")))
     key = F.concat(F.lit("key"), F.col("user_id").cast("string"))
-    files = t("events").select(e.cast("string").alias("path"), F.unhex(F.concat(text(name), number, F.lit("05"), text(key))).alias("data"))
+    files = dealt(t("events"), "event_id").select(e.cast("string").alias("path"), F.unhex(F.concat(text(name), number, F.lit("05"), text(key))).alias("data"))
     return R.commands(C.walked(files, R.amf_walk, R.AMF))
 
 

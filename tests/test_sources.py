@@ -108,5 +108,5 @@ def test_bits_are_evaluated_once(spark):
 def test_parsed_rows_are_dealt_to_tasks(spark):
     from loomframe.plans import catalogue
 
-    for name in ("pps_parse", "sps_parse", "av1_sequence"):
+    for name in ("pps_parse", "sps_parse", "av1_sequence", "slice_headers"):
         assert "hashpartitioning" in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
