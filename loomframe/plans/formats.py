@@ -145,7 +145,8 @@ _SAMPLE_SQL = """m AS (SELECT *, row_number() OVER w - 1 AS sample, coalesce(sum
 @query(f"""WITH {_SAMPLE_SQL} SELECT CAST(user_id AS VARCHAR) AS path, sample, CAST(pts AS BIGINT) AS pts, length(props) AS size, CAST("offset" AS BIGINT) AS "offset", keys = 0 OR event_type = 'click' AS is_key_frame, props AS data FROM m""")
 def mp4_packets(t):
     """Muxed, read back by the sample tables, with the bytes of each sample; without a sync list every sample is a key frame."""
-    files = _movies(t)
+    # one exchange, which the index and the bytes both read: the join's own filter of null paths would part them
+    files = dealt(_movies(t).filter("path is not null"), "path")
     index = C.samples(C.walked(files, C.sample_tables, C.TRACKS)).drop("track_id")
     return C.packets(index, files).select("path", "sample", "pts", "size", "offset", "is_key_frame", F.col("data").cast("string").alias("data"))
 

@@ -11,7 +11,7 @@ import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomframe.functions import media as M
@@ -168,24 +168,47 @@ def probe(tracks: DataFrame) -> DataFrame:
 
 
 def samples(tracks: DataFrame) -> DataFrame:
-    """The packet table: path, track_id, sample (from 0), pts, size, offset, is_key_frame. Index resolution is joins and windows."""
+    """The packet table: path, track_id, sample (from 0), pts, size, offset, is_key_frame.
+
+    The tables' entries are taken apart once, and each sample looks back to its run of times, its chunk and the last
+    sync sample by windows of its track, so the tables are read once and nothing grows with their product.
+    """
     keys = ["path", "track_id"]
-    runs = tracks.select(*keys, F.posexplode("stts").alias("run", "r")).select(*keys, "run", "r.count", "r.delta")
-    times = T.expanded_runs(runs, keys, ["run"], "count", "delta")
-    times = times.withColumn("sample", F.row_number().over(T.ordered(keys, ["run", "sample"])).cast("long") - 1).select(*keys, "sample", "pts")
-    sizes = tracks.select(*keys, F.posexplode(F.when(F.col("fixed_size") > 0, F.array_repeat(F.col("fixed_size"), F.aggregate("stts", F.lit(0).cast("long"), lambda s, r: s + r["count"]).cast("int"))).otherwise(F.col("sizes"))).alias("sample", "size"))
-    w = T.ordered(keys, ["run"])
-    chunk_runs = tracks.select(*keys, F.size("offsets").alias("n_chunks"), F.posexplode("stsc").alias("run", "c")).select(*keys, "n_chunks", "run", "c.first_chunk", "c.per_chunk")
-    chunk_runs = chunk_runs.withColumn("next_chunk", F.coalesce(F.lead("first_chunk").over(w), F.col("n_chunks") + 1)).filter("next_chunk > first_chunk and per_chunk > 0")
-    chunks = chunk_runs.select(*keys, "per_chunk", F.explode(F.sequence("first_chunk", F.col("next_chunk") - 1)).alias("chunk"))
-    chunks = T.running_offset(chunks, keys, ["chunk"], "per_chunk", "first")
-    placed = chunks.select(*keys, "chunk", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("per_chunk") - 1)).alias("sample"))
-    where = tracks.select(*keys, F.posexplode("offsets").alias("chunk", "chunk_offset")).withColumn("chunk", F.col("chunk") + 1)
-    joined = sizes.withColumn("sample", F.col("sample").cast("long")).join(placed, [*keys, "sample"]).join(where, [*keys, "chunk"]).join(times, [*keys, "sample"])
-    joined = T.running_offset(joined, [*keys, "chunk"], ["sample"], "size", "within")
-    sync = tracks.select(*keys, "sync")
-    key = F.when(F.col("sync").isNull(), True).otherwise(F.array_contains("sync", F.col("sample") + 1))
-    return joined.join(sync, keys).select(*keys, "sample", "pts", "size", (F.col("chunk_offset") + F.col("within")).alias("offset"), key.alias("is_key_frame"))
+    kinds = runs, chunks, sync, sizes = range(4)  # in this order at one sample
+    entry = lambda kind, at, of, i, n, v: F.struct(*[F.lit(x).cast("long").alias(c) if x is None or isinstance(x, int) else x.cast("long").alias(c) for c, x in zip(("kind", "at", "of", "i", "n", "v"), (kind, at, of, i, n, v))])
+    total = F.aggregate("stts", F.lit(0).cast("long"), lambda s, r: s + r["count"]).cast("int")
+    sized = F.when(F.col("fixed_size") > 0, F.array_repeat("fixed_size", total)).otherwise(F.col("sizes"))
+    entries = F.concat(
+        F.transform("stts", lambda r, i: entry(runs, i, 0, i, r["count"], r["delta"])),
+        F.transform("stsc", lambda c, i: entry(chunks, c["first_chunk"], 0, i, c["per_chunk"], None)),
+        F.transform("offsets", lambda o, i: entry(chunks, i + 1, 1, i, None, o)),
+        F.array(entry(chunks, 0, 1, 0, None, None)),  # a chunk 0 is counted but is nowhere
+        F.coalesce(F.transform("sync", lambda k: entry(sync, k - 1, 0, 0, None, None)), F.array().cast("array<struct<kind:long,at:long,of:long,i:long,n:long,v:long>>")),
+        F.transform(sized, lambda n, i: entry(sizes, i, 0, i, None, n)),
+    )
+    rows = tracks.select(*keys, F.col("sync").isNull().alias("every"), F.inline(entries)).repartition("path")
+    is_run, is_chunk, is_sync, is_size = (F.col("kind") == k for k in kinds)
+    is_place = is_chunk & (F.col("of") == 1)
+
+    w = T.ordered(keys, ["kind", "at", "of", "i"])
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    held = T.last_before(None, keys, ["kind", "at", "of", "i"], F.when(is_chunk & (F.col("of") == 0), F.col("n")))
+    rows = rows.withColumn("n", F.when(is_place, held).otherwise(F.col("n")))
+    sum_before = lambda value, over: F.coalesce(F.sum(value).over(over), F.lit(0))
+    rows = rows.withColumns({"run_at": sum_before(F.when(is_run, F.col("n")), before), "chunk_at": sum_before(F.when(is_place, F.col("n")), before), "base": sum_before(F.when(is_run, F.col("n") * F.col("v")), before)})
+    rows = rows.withColumn("at", F.when(is_run, F.col("run_at")).when(is_chunk, F.col("chunk_at")).otherwise(F.col("at")))
+    rows = rows.filter(is_sync | is_size | ((is_run | is_place) & (F.col("n") > 0)))
+
+    order = ["at", "kind"]
+    back = lambda rule, *columns: T.last_before(None, keys, order, F.when(rule, F.struct(*columns)))
+    rows = rows.withColumn("bytes", sum_before(F.when(is_size, F.col("v")), T.ordered(keys, order).rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumns({"run": back(is_run, "at", "n", "v", "base"), "chunk": back(is_place, "at", "n", "v", "bytes"), "key": back(is_sync, "at")})
+    inside = lambda c: F.col("at") < F.col(f"{c}.at") + F.col(f"{c}.n")
+    found = rows.filter(is_size & inside("run") & inside("chunk") & F.col("chunk.v").isNotNull())
+    pts = F.col("run.base") + (F.col("at") - F.col("run.at")) * F.col("run.v")
+    offset = F.col("chunk.v") + F.col("bytes") - F.col("chunk.bytes")
+    key = F.col("every") | F.coalesce(F.col("key.at") == F.col("at"), F.lit(False))
+    return found.select(*keys, F.col("at").alias("sample"), pts.alias("pts"), F.col("v").alias("size"), offset.alias("offset"), key.alias("is_key_frame"))
 
 
 def packets(index: DataFrame, contents: DataFrame) -> DataFrame:

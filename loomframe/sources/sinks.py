@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +75,12 @@ def mp4_bytes(samples: list[tuple[bytes, int, bool]], width: int, height: int, t
 def muxed(samples: DataFrame, width: int, height: int, timescale: int) -> DataFrame:
     """(stream, file) from rows (stream, seq, data, duration, is_key): a file a stream, its samples in order."""
 
-    def mux(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        rows = list(zip(group["data"], group["duration"].astype(int), group["is_key"].astype(bool)))
-        return pd.DataFrame({"stream": [group["stream"].iloc[0]], "file": [mp4_bytes(rows, width, height, timescale)]})
+    def mux(group: pa.Table) -> pa.Table:
+        group = group.sort_by("seq")
+        rows = list(zip(*[group.column(c).to_pylist() for c in ("data", "duration", "is_key")]))
+        return pa.table({"stream": group.column("stream")[:1], "file": pa.array([mp4_bytes(rows, width, height, timescale)], pa.binary())})
 
-    return samples.groupBy("stream").applyInPandas(mux, "stream long, file binary")
+    return samples.groupBy("stream").applyInArrow(mux, "stream long, file binary")
 
 
 def transport_segments(units: DataFrame) -> DataFrame:

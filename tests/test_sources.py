@@ -110,3 +110,35 @@ def test_parsed_rows_are_dealt_to_tasks(spark):
 
     for name in ("pps_parse", "sps_parse", "av1_sequence", "slice_headers"):
         assert "hashpartitioning" in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_is_built_in_one_pass_from_any_tables(spark):
+    rng, tracks, expected = random.Random(5), [], []
+    for f in range(40):
+        n, fixed = rng.randrange(1, 30), rng.choice([0, 0, 9])
+        stts, left = [], n
+        while left:
+            stts.append((k := rng.randrange(0, left + 1), rng.randrange(5)))
+            left -= k
+        stsc, counts = [], []
+        while sum(counts) < n:
+            stsc.append((len(counts) + 1, per := rng.randrange(0, 5)))
+            counts += [per] * rng.randrange(1, 4)
+        offsets = [1000 * k + rng.randrange(9) for k in range(len(counts) - rng.randrange(2))]
+        sizes = [rng.randrange(50) for _ in range(n + rng.randrange(3))]
+        sync = rng.choice([None, [], sorted(rng.sample(range(1, n + 1), rng.randrange(1, n + 1)))])
+        tracks.append((f"f{f}", 1, fixed, stts, [] if fixed else sizes, sync, offsets, stsc))
+        times, at = [], 0
+        for k, d in stts:
+            times += [at + j * d for j in range(k)]
+            at += k * d
+        places = [(c, j) for c, k in enumerate(counts[: len(offsets)]) for j in range(k)]
+        sizes = [fixed] * n if fixed else sizes
+        for i in range(min(len(sizes), len(times), len(places))):
+            chunk, j = places[i]
+            expected.append((f"f{f}", i, times[i], sizes[i], offsets[chunk] + sum(sizes[i - j : i]), sync is None or i + 1 in sync))
+    kind = "path string, track_id long, fixed_size long, stts array<struct<count:long,delta:long>>, sizes array<long>, sync array<long>, offsets array<long>, stsc array<struct<first_chunk:long,per_chunk:long>>"
+    found = C.samples(spark.createDataFrame(tracks, kind))
+    assert sorted((r.path, r.sample, r.pts, r["size"], r.offset, r.is_key_frame) for r in found.collect()) == sorted(expected)
+    plan = C.samples(C.walked(table(spark, b""), C.sample_tables, C.TRACKS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "array_contains" not in plan
