@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import langid, mixing, ngram_join, tokens
-from loomframe.llm.shared import new_folder, written
+from loomframe.llm.shared import new_folder, rows_with, rows_without, written
 
 #: No SQL can train the two models.
 ORACLE_SQL = None
@@ -37,13 +37,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = written(ngram_join.ngram_join(docs), "pipeline-groups")
     gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+    kept = rows_without(docs, gone, "doc_id")
+    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
         return kept
     # each column as (is null, value), so that nulls come last
     row = F.struct(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`").alias("v")).alias(f"c{k}") for k, c in enumerate(docs.columns)])
-    least = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.min(row).alias("_row"))
-    return least.select(*[F.col(f"_row.c{k}.v").alias(c) for k, c in enumerate(docs.columns)]).unionByName(kept.filter("doc_id is null"))
+    least = rows_with(kept, repeated, "doc_id").groupBy("doc_id").agg(F.min(row).alias("_row"))
+    return least.select(*[F.col(f"_row.c{k}.v").alias(c) for k, c in enumerate(docs.columns)]).unionByName(rows_without(kept, repeated, "doc_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -309,31 +309,32 @@ def _sets(words: int):
     return run
 
 
-_GROUP = "block long, low long, n_union long, n_members int, bytes binary"
+_GROUP = "block long, parts int, low long, n_union long, n_members int, bytes binary"
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams (block, id, shingles) sorted by block; gives each group as one row: ids, sizes, union, and all members' places in the union."""
+    """Streams (block, parts, id, shingles) sorted by block; gives each group as one row: ids, sizes, union, and all members' places in the union. Without parts, a group has one."""
 
-    def row(block: int, members: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    def row(block: int, parts: int, members: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([v for _, v in members]))
         sizes = np.array([len(v) for _, v in members], np.int64)
         places = np.concatenate([np.searchsorted(union, v) for _, v in members]).astype(np.int32)
         blob = b"".join((np.array([i for i, _ in members], np.int64).tobytes(), sizes.tobytes(), union.tobytes(), places.tobytes()))
-        return pa.RecordBatch.from_pylist([{"block": block, "low": int(sizes.min()), "n_union": len(union), "n_members": len(members), "bytes": blob}], schema=arrow)
+        return pa.RecordBatch.from_pylist([{"block": block, "parts": parts, "low": int(sizes.min()), "n_union": len(union), "n_members": len(members), "bytes": blob}], schema=arrow)
 
-    arrow = pa.schema([("block", pa.int64()), ("low", pa.int64()), ("n_union", pa.int64()), ("n_members", pa.int32()), ("bytes", pa.binary())])
-    block, members = None, []
+    arrow = pa.schema([("block", pa.int64()), ("parts", pa.int32()), ("low", pa.int64()), ("n_union", pa.int64()), ("n_members", pa.int32()), ("bytes", pa.binary())])
+    block, parts, members = None, 0, []
     for batch in batches:
         shingles = batch.column("shingles")
-        for k, (key, doc) in enumerate(zip(batch.column("block").to_pylist(), batch.column("id").to_pylist())):
+        all_parts = batch.column("parts").to_pylist() if "parts" in batch.schema.names else [1] * batch.num_rows
+        for k, (key, its_parts, doc) in enumerate(zip(batch.column("block").to_pylist(), all_parts, batch.column("id").to_pylist())):
             if key != block and members:
-                yield row(block, members)
+                yield row(block, parts, members)
                 members = []
-            block = key
+            block, parts = key, its_parts
             members.append((doc, np.frombuffer(shingles[k].as_buffer(), np.uint64).copy()))
     if members:
-        yield row(block, members)
+        yield row(block, parts, members)
     given_back()
 
 
@@ -391,26 +392,26 @@ def _opened(percent: int):
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams (block, n, bits) sorted by block; gives each group's least size and the bit row of its union."""
-    block, low, bits = None, 0, np.empty(0, np.uint8)
+    """Streams (block, parts, n, bits) sorted by block; gives each group's least size and the bit row of its union."""
+    block, parts, low, bits = None, 0, 0, np.empty(0, np.uint8)
     for batch in batches:
         out, rows = [], batch.column("bits")
-        for k, (key, n) in enumerate(zip(batch.column("block").to_pylist(), batch.column("n").to_pylist())):
+        for k, (key, its_parts, n) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("block", "parts", "n")])):
             row = np.frombuffer(rows[k].as_buffer(), np.uint8)
             if key == block:
                 size = min(len(row), len(bits))
                 low, bits = min(low, n), folded(bits, size) | folded(row, size)
                 continue
             if block is not None:
-                out.append({"block": block, "low": low, "bits": bits.tobytes()})
-            block, low, bits = key, n, row.copy()
+                out.append({"block": block, "parts": parts, "low": low, "bits": bits.tobytes()})
+            block, parts, low, bits = key, its_parts, n, row.copy()
         yield pa.RecordBatch.from_pylist(out, schema=_UNION)
     if block is not None:
-        yield pa.RecordBatch.from_pylist([{"block": block, "low": low, "bits": bits.tobytes()}], schema=_UNION)
+        yield pa.RecordBatch.from_pylist([{"block": block, "parts": parts, "low": low, "bits": bits.tobytes()}], schema=_UNION)
     given_back()
 
 
-_UNION = pa.schema([("block", pa.int64()), ("low", pa.int64()), ("bits", pa.binary())])
+_UNION = pa.schema([("block", pa.int64()), ("parts", pa.int32()), ("low", pa.int64()), ("bits", pa.binary())])
 
 
 def least_overlap(n: int, low: int, percent: int) -> int:
@@ -438,34 +439,42 @@ def _qualified(percent: int):
     return run
 
 
-def _met(offered: DataFrame, asking: DataFrame, queries: DataFrame) -> DataFrame:
-    """Rows of groups (role 0) and of their queries (role 1), by group. A group with many queries is sent to several tasks."""
-    parts = queries.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    offered = offered.join(parts, "block").withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "role": F.lit(0)}).drop("parts")
-    asking = asking.join(parts, "block").withColumns({"part": F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), "role": F.lit(1)}).drop("parts")
-    rows = offered.unionByName(asking, allowMissingColumns=True)
-    return rows.repartition(partitions(queries.sparkSession), "block", "part").sortWithinPartitions("block", "part", "role")
+def _parts(queries: DataFrame) -> DataFrame:
+    """(block, parts): a group with many queries is sent to several tasks."""
+    return queries.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+
+
+def _dealt(queries: DataFrame) -> DataFrame:
+    """Each query (block, id) with its part, before it has its bits or its set: these are then shuffled only to their group."""
+    return queries.join(_parts(queries), "block").select("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
+
+
+def _met(offered: DataFrame, asking: DataFrame) -> DataFrame:
+    """Rows of groups (role 0; block, parts) and of their queries (role 1; block, part), by group."""
+    offered = offered.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "role": F.lit(0)}).drop("parts")
+    rows = offered.unionByName(asking.withColumn("role", F.lit(1)), allowMissingColumns=True)
+    return rows.repartition(partitions(offered.sparkSession), "block", "part").sortWithinPartitions("block", "part", "role")
 
 
 def _links(queries: DataFrame, members: DataFrame, bits: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) of queries (block, id) to members (block, id), written: unions bound the queries first, then groups are opened."""
     n = partitions(queries.sparkSession)
     by_block = lambda df: df.repartition(n, "block").sortWithinPartitions("block")
-    asked = written(members.join(queries.select("block").distinct(), "block", "left_semi"), "ngram-asked")
+    asked = written(members.join(_parts(queries), "block"), "ngram-asked")
     some = written(queries.select("id").unionByName(asked.select("id")).distinct(), "ngram-some")
     bits = written(rows_with(bits, some, "id", exact=False), "ngram-bits")
-    unions = written(by_block(asked.join(bits, "id").select("block", "n", "bits")).mapInArrow(_united, "block long, low long, bits binary"), "ngram-unions")
-    met = _met(unions.withColumnRenamed("low", "n"), queries.join(bits, "id").select("block", "id", "n", "bits"), queries)
+    unions = written(by_block(asked.join(bits, "id").select("block", "parts", "n", "bits")).mapInArrow(_united, "block long, parts int, low long, bits binary"), "ngram-unions")
+    met = _met(unions.withColumnRenamed("low", "n"), _dealt(queries).join(bits, "id").select("block", "part", "id", "n", "bits"))
     close = written(met.mapInArrow(_qualified(percent), "block long, id long"), "ngram-close")
     dropped(some, bits, unions)
     released(queries.sparkSession)
-    opened = written(asked.join(close.select("block").distinct(), "block", "left_semi"), "ngram-opened")
+    opened = written(asked.select("block", "id").join(_parts(close), "block"), "ngram-opened")
     needed_ids = written(close.select("id").unionByName(opened.select("id")).distinct(), "ngram-needed")
     sets = rows_with(texts, needed_ids, "id", exact=False).mapInArrow(_sets(words), "id long, key long, n long, shingles binary")
     sets = written(sets.join(needed_ids, "id", "left_semi").dropDuplicates(["id", "n", "key"]).select("id", "shingles"), "ngram-sets")
-    groups = written(by_block(opened.join(sets, "id").select("block", "id", "shingles")).mapInArrow(_stored, _GROUP), "ngram-groups")
-    asking = close.join(sets, "id").select("block", "id", F.col("shingles").alias("bytes"))
-    links = written(_met(groups, asking, close).mapInArrow(_opened(percent), "a long, b long"), "ngram-links")
+    groups = written(by_block(opened.join(sets, "id").select("block", "parts", "id", "shingles")).mapInArrow(_stored, _GROUP), "ngram-groups")
+    asking = _dealt(close).join(sets, "id").select("block", "part", "id", F.col("shingles").alias("bytes"))
+    links = written(_met(groups, asking).mapInArrow(_opened(percent), "a long, b long"), "ngram-links")
     dropped(asked, close, opened, needed_ids, sets, groups)
     released(queries.sparkSession)
     return links
@@ -501,9 +510,9 @@ def prepared(texts: DataFrame, words: int = 5, percent: int = 75) -> Prepared:
     repeated = written(classes.filter("copies > 1").drop("bands", "bits"), "ngram-repeated")
     copies = written(hot_join(known.select("id", "n", "k1", "k2"), repeated, ["n", "k1", "k2"]).filter("first < id").select("id", "first"), "ngram-copies")
 
-    bands = classes.select(F.col("first").alias("id"), F.explode("bands").alias("band")).distinct()
+    bands = classes.select(F.col("first").alias("id"), F.explode(F.array_distinct("bands")).alias("band"))
     leaders = written(bands.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("copies")).filter("copies > 1"), "ngram-leaders")
-    follows = written(hot_join(bands, leaders, ["band"]).groupBy("id").agg(F.min("leader").alias("leader")).filter("leader < id"), "ngram-follows")
+    follows = written(hot_join(rows_with(bands, leaders, "band", exact=False), leaders, ["band"]).groupBy("id").agg(F.min("leader").alias("leader")).filter("leader < id"), "ngram-follows")
     bits = classes.select(F.col("first").alias("id"), "n", "bits")
     stars = _links(follows.select(F.col("leader").alias("block"), "id"), follows.select(F.col("leader").alias("block"), F.col("leader").alias("id")).distinct(), bits, texts, words, percent)
     linked = written(components(stars, "a", "b"), "ngram-linked")

@@ -75,17 +75,31 @@ def released(spark: SparkSession) -> None:
 FILTER_ROWS, FILTER_BITS = 1 << 18, 62
 
 
+def _filtered(df: DataFrame, ids: DataFrame, column: str, held: bool) -> DataFrame:
+    """Rows of ``df`` that the bit filter of ``ids`` lets pass, or those that it holds back."""
+    row = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_ROWS)).cast("int")
+    bit = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(FILTER_BITS)).cast("int")
+    bits = ids.groupBy(row(F.col(column)).alias("_row")).agg(F.bit_or(F.expr("1L") * F.pow(F.lit(2.0), bit(F.col(column))).cast("long")).alias("_bits"))
+    known = df.withColumn("_row", row(F.col(column))).join(F.broadcast(bits), "_row", "left" if held else "inner")
+    known = known.filter(F.coalesce(F.getbit("_bits", bit(F.col(column))), F.lit(0)) == (0 if held else 1))
+    return known.select(*df.columns)
+
+
 def rows_with(df: DataFrame, ids: DataFrame, column: str, exact: bool = True) -> DataFrame:
     """``df`` left-semi joined with ``ids``; a bit filter of bounded size is broadcast first, so few other rows are shuffled.
 
     With ``exact`` false the filter is all: some other rows stay, and nothing is shuffled.
     """
-    row = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_ROWS)).cast("int")
-    bit = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(FILTER_BITS)).cast("int")
-    bits = ids.groupBy(row(F.col(column)).alias("_row")).agg(F.bit_or(F.expr("1L") * F.pow(F.lit(2.0), bit(F.col(column))).cast("long")).alias("_bits"))
-    near = df.withColumn("_row", row(F.col(column))).join(F.broadcast(bits), "_row").filter(F.getbit("_bits", bit(F.col(column))) == 1)
-    near = near.select(*df.columns)
-    return near.join(ids, column, "left_semi") if exact else near
+    near = _filtered(df, ids, column, held=False)
+    # a semi or an anti join would be pushed below the filter
+    return near.join(ids.select(column).distinct(), column).select(*df.columns) if exact else near
+
+
+def rows_without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``df`` left-anti joined with ``ids``, in two scans: rows that the same filter holds back stay without a shuffle."""
+    near = _filtered(df, ids, column, held=False).join(ids.select(column, F.lit(True).alias("_held")).distinct(), column, "left")
+    near = near.filter("_held is null").select(*df.columns)
+    return _filtered(df, ids, column, held=True).unionByName(near)
 
 
 def partitions(spark: SparkSession) -> int:

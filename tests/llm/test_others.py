@@ -367,3 +367,29 @@ def test_near_duplicate_stage_of_repeated_ids(spark):
     docs = spark.createDataFrame([(1, "b text", None), (1, "a text", "en"), (2, "other words", "en"), (None, "x", "en"), (None, "x", "en")], "doc_id long, text string, lang string")
     rows = [sorted(map(tuple, pipeline.near_duplicates(spark, docs.repartition(n), DATA).collect()), key=str) for n in (1, 4)]
     assert rows[0] == rows[1] and [r for r in rows[0] if r[0] == 1] == [(1, "a text", "en")] and len(rows[0]) == 4
+
+
+def test_near_duplicates_shuffle_few_texts(spark):
+    import corpus_pipeline as pipeline
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 2**40, 300))) for _ in range(300)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, texts[k]) for k in range(10)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as when the ids that go are too many
+    try:
+        for unique in (True, False):
+            docs = spark.createDataFrame(rows if unique else [*rows, (None, texts[20]), (299, texts[0])], "doc_id long, text string")
+            out = pipeline.near_duplicates(spark, docs, DATA)
+            spark.sparkContext.setJobGroup(f"kept {unique}", "")
+            got = sorted(map(tuple, out.collect()), key=str)
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+            tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+            stages = {s for j in tracker.getJobIdsForGroup(f"kept {unique}") for s in tracker.getJobInfo(j).stageIds}
+            sent = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+            assert stages and sent < sum(map(len, texts)) / 5
+            if not unique:
+                # 299 repeats with the text of 0, and so goes with all its rows
+                assert got == sorted([(k, t) for k, t in enumerate(texts[:299])] + [(None, texts[20])], key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
