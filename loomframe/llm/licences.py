@@ -184,18 +184,25 @@ def licence_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     run = lambda w: F.when(F.size("_parts") > w, F.transform(F.sequence(F.lit(0), F.size("_parts") - w), lambda k: F.struct(F.lit(f"paragraphs {w}").alias("unit"), k.alias("unit_no"), F.array_join(F.slice("_parts", k + 1, w), "\n\n").alias("part")))).otherwise(F.array().cast("array<struct<unit:string,unit_no:int,part:string>>"))
     words = sorted(set().union(*[anchors(grams, least) for _, _, grams in {name: (0, name, g) for _, name, g in rows}.values()])) if rows else []
 
-    def holds(plain: Column, lower: Column) -> Column:
+    words = [w for w in words if not any(other != w and other in w for other in words)]  # who holds the longer one holds the shorter
+
+    def holds(plain: Column) -> Column:
         # lower() maps more letters than A-Z, so it finds no fewer anchors
-        held = F.lit(False)
-        for word in words:
-            held = held | (plain.rlike("(?i)" + word.replace(" ", "[^A-Za-z0-9]+")) if " " in word else F.contains(lower, F.lit(word)))
-        return F.coalesce(held, F.lit(False))
+        def found(lower: Column) -> Column:
+            held = F.lit(False)
+            for word in words:
+                here = [F.contains(lower, F.lit(w)) for w in word.split(" ")]
+                held = held | (here[0] & here[1] & plain.rlike("(?i)" + word.replace(" ", "[^A-Za-z0-9]+")) if " " in word else here[0])
+            return held
+
+        # as a column, lower() would be put into each of the terms and evaluated there
+        return F.coalesce(F.exists(F.array(F.lower(plain)), found), F.lit(False))
 
-    docs = docs.select(F.col(id_column).cast("long").alias("_id"), text.alias("_text"), F.lower(text).alias("_lower")).filter(holds(F.col("_text"), F.col("_lower")))
+    docs = docs.select(F.col(id_column).cast("long").alias("_id"), text.alias("_text")).filter(holds(F.col("_text")))
     docs = docs.select("_id", "_text", paragraphs.alias("_parts"))
     units = docs.select(F.col("_id").alias("doc_id"), F.explode(F.concat(lines, several, *map(run, RUNS), whole)).alias("u")).select("doc_id", "u.unit", "u.unit_no", "u.part")
     # n bigrams take n + 1 words, and these at least 2 n + 1 characters
-    units = units.filter(F.length("part") >= 2 * shortest + 1).withColumn("_lower", F.lower("part")).filter(holds(F.col("part"), F.col("_lower")))
+    units = units.filter(F.length("part") >= 2 * shortest + 1).filter(holds(F.col("part")))
     grams = units.withColumn("grams", bigrams(F.col("part"))).withColumn("n", F.size("grams")).select("doc_id", "unit", "unit_no", "grams", "n")
     found = grams.join(F.broadcast(table), "n")
     dice = 2.0 * F.size(F.array_intersect("grams", "template")) / (F.col("n") + F.size("template"))

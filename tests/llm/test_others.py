@@ -135,6 +135,13 @@ def test_licences_are_brute_force(spark):
     assert licences.licence_scan(docs.limit(0)).count() == 0
 
 
+def test_licences_lower_a_text_once(spark, capsys):
+    docs = spark.createDataFrame([(0, "Released under the MIT License.")], "doc_id long, text string")
+    licences.licence_scan(docs.repartition(2)).explain("simple")
+    plan = capsys.readouterr().out
+    assert 1 <= plan.count("lower(") < 20  # not once for each anchor
+
+
 def test_size_bounds_lose_nothing():
     for n in range(1, 60):
         low, high = licences.size_bounds(n, 0.8)
