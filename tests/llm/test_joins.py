@@ -262,3 +262,85 @@ def test_top_k_of_repeated_and_null_queries(spark):
     rows = [(0, [1.0, 0.0], 1, 0.0, 0), (0, [0.5, 0.0], 1, 0.0, 0), (1, [1.0, 1.0], 1, 0.0, 0), (2, [0.0, 1.0], 1, 0.0, 0), (None, [9.0, 9.0], 1, 0.0, 0)]
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, VECTORS), k=5).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 512 * 1024), (0, 2, 2, 0)]
+
+
+def _broadcast_rows(spark, since):
+    """Rows of the largest broadcast among the queries after the given one, and the last query's number."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    ids = [runs.apply(n).executionId() for n in range(runs.size())]
+    for run in (x for x in ids if x > since):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(n) for n in range(nodes.size())):
+            for metric in (node.metrics().apply(n) for n in range(node.metrics().size())):
+                if node.name() == "BroadcastExchange" and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most, max(ids, default=-1)
+
+
+def test_top_k_broadcasts_no_queries(spark, monkeypatch):
+    from loomframe.llm import vectors as deal
+
+    monkeypatch.setattr(deal, "BLOCK", 50)
+    rng = np.random.default_rng(8)
+    rows = [(k, [float(v) for v in rng.normal(size=16)], 1, 0.0, 0) for k in range(2000)]
+    whole = np.floor(np.array([x for _, x, *_ in rows], np.float64) * 1024).astype(int)
+    want = {}
+    for q in range(0, 2000, 4):
+        scores = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)
+        want |= {(q, k): (i, -s) for k, (s, i) in enumerate(scores[:10], 1)}
+    before = _broadcast_rows(spark, 1 << 60)[1]
+    got = topk.top_k(spark.createDataFrame(rows, VECTORS), every=4).collect()
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == want
+    most, last = _broadcast_rows(spark, before)
+    assert last > before and 0 < most < 250  # about 160 pivots; queries by cells would be 500 times as many
+
+
+def test_regions_are_cut_and_queries_dealt_to_parts(spark, monkeypatch):
+    from loomframe.llm import vectors as deal
+
+    monkeypatch.setattr(deal, "BLOCK", 30)
+    for name, value in (("REGION_BYTES", 8 * 6 * 100), ("QUERIES", 7), ("TOGETHER", 3), ("STEP", 5)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(9)
+    # a fifth of the rows are one vector, which fills a cell beyond a region
+    rows = [(k, [0.5] * 6 if k % 5 == 0 else [float(v) for v in rng.normal(size=6)], 1, 0.0, 0) for k in range(1500)]
+    whole = np.floor(np.array([x for _, x, *_ in rows], np.float64) * 1024).astype(int)
+    want = {}
+    for q in range(0, 1500, 30):
+        scores = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)
+        want |= {(q, k): (i, -s) for k, (s, i) in enumerate(scores[:10], 1)}
+    seen = []
+    cut = topk.regions
+    monkeypatch.setattr(topk, "regions", lambda *a: seen.append(cut(*a)) or seen[-1])
+    got = topk.top_k(spark.createDataFrame(rows, VECTORS).repartition(3), every=30).collect()
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == want and len(got) == len(want)
+    assert max(slices for _, slices in seen[0].values()) > 1 and max(first for first, _ in seen[0].values()) > 10
+
+
+@pytest.mark.parametrize("size", [3, 1 << 10, 1 << 15, (1 << 26) - 1])
+def test_blocks_searched_together_are_brute_force(size):
+    rng = np.random.default_rng(size)
+    centres = rng.integers(-size // 2, size // 2 + 1, (5, 64))
+    blocks, rows = [], []
+    for n in range(5):
+        x = centres[n] + rng.integers(-max(1, size // 50), max(1, size // 50) + 1, (700, 64))
+        ids, dist = np.arange(700 * n, 700 * (n + 1)), np.sqrt(((x - centres[n]) ** 2.0).sum(axis=1))
+        order = np.lexsort((ids, dist))
+        blocks.append((ids[order], topk.packed(x[order].astype(np.float64)), dist[order], centres[n].astype(np.float64), float((x.astype(np.float64) ** 2).sum(axis=1).max())))
+        rows.append(x)
+    x = np.concatenate(rows)
+    query_ids = np.arange(0, 3500, 50)
+    floors = np.where(query_ids % 100 == 0, -np.inf, 0.0)
+    scored = []
+    plain = topk._scores
+    topk._scores = lambda a, b, reach: scored.append(len(a) * len(b)) or plain(a, b, reach)
+    try:
+        found = topk.search(blocks, query_ids, np.stack([topk.unpacked(topk.packed(x[q].astype(np.float64)).tobytes(), 64) for q in query_ids]), floors, 10)
+    finally:
+        topk._scores = plain
+    for n, q in enumerate(query_ids):
+        scores = sorted((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q and s >= floors[n])[:10]
+        assert list(zip(found.ids[found.at == n].tolist(), found.scores[found.at == n].tolist())) == [(i, -s) for s, i in scores]
+    assert size < 1 << 10 or sum(scored) < 0.7 * len(x) * len(query_ids)
